@@ -155,7 +155,8 @@ def _long_prefixes(hot: DataFrame, width: int, words: bool, earlier_only: bool,
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), ids, pa.array((lo[row] + begin - count[row]).astype(np.int32))], names=["w", "id", "s"])
 
     seen = hot.mapInArrow(run, f"w bigint, id {kind}, s int")
-    many = seen.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "s")).alias("head")).where("c > 1")
+    # Written first: a join splits a hot key only where both its sides are plain exchanges.
+    many = materialize(seen.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "s")).alias("head")).where("c > 1"), "windows")
     joined = seen.join(many, "w")
     if earlier_only:
         joined = joined.where(F.struct("id", "s") > F.col("head"))
@@ -172,9 +173,10 @@ def repeated_ranges(docs: DataFrame, *, width: int, gram: int, words: bool, earl
     spark = docs.sparkSession
     kind = docs.schema["id"].dataType.simpleString()
     runs = materialize(find_anchors(docs, width, gram, words), "runs")
-    many = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # Written first: a join splits a hot key only where both its sides are plain exchanges.
+    many = materialize(runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "anchors")
     kept = materialize(runs.join(many, "key"), "kept")
-    discard(runs)
+    discard(runs, many)
     release(spark)
     windows, hottest = kept.agg(F.sum("n"), F.max("c")).first()
     if not windows:
