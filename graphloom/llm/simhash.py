@@ -8,7 +8,7 @@ Candidates come from the pigeonring principle.  Lay ``m`` segments of the
 fingerprint on a ring.  If the whole differs in at most ``t`` bits, some
 segment starts a chain in which, for every length ``l`` up to ``m``, the first
 ``l`` segments together differ in at most ``floor(l * t / m)`` bits.  With
-``m = t + 1`` the first segment must agree and the second may differ in at
+``m = t + 1`` (three at least) the first segment must agree and the second may differ in at
 most one bit, so the *chain key* (start, first segment, second segment) is
 probed with its few admissible variants; the join then walks the remaining
 chain and only what survives meets the full Hamming check.  No link is lost
@@ -119,6 +119,11 @@ def segment_bounds(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
 
 
+def segment_count(max_bits: int) -> int:
+    """One more than the bits that may differ, and three at least: the first segment of a chain agrees."""
+    return max(max_bits + 1, 3)
+
+
 def _segment(fp, low: int, bits: int):
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
@@ -127,23 +132,22 @@ def _chain_keys(fp, max_bits: int, variants: bool):
     """Array of chain keys: (start, first segment, second segment), packed.
 
     The first segment agrees and the second differs in at most
-    floor(2t / (t + 1)) = 1 bit for t > 0; ``variants`` adds those neighbours.
+    floor(2t / m) bits, one at most; ``variants`` adds those neighbours.
     """
-    bounds = segment_bounds(max_bits + 1)
+    bounds = segment_bounds(segment_count(max_bits))
     keys = []
     for i, (low, bits) in enumerate(bounds):
         low2, bits2 = bounds[(i + 1) % len(bounds)]
-        base = F.lit(i).cast("long")
-        base = F.shiftleft(base, bits).bitwiseOR(_segment(fp, low, bits)) if len(bounds) > 1 else base
+        base = F.shiftleft(F.lit(i).cast("long"), bits).bitwiseOR(_segment(fp, low, bits))
         second = _segment(fp, low2, bits2)
-        for flip in [0] + ([1 << b for b in range(bits2)] if variants and max_bits else []):
+        for flip in [0] + ([1 << b for b in range(bits2)] if variants and 2 * max_bits >= len(bounds) else []):
             keys.append(F.shiftleft(base, bits2).bitwiseOR(second.bitwiseXOR(F.lit(flip).cast("long"))))
     return F.array(*keys)
 
 
 def _chain_holds(a, b, max_bits: int):
     """Some start of the ring keeps every prefix within its budget."""
-    bounds = segment_bounds(max_bits + 1)
+    bounds = segment_bounds(segment_count(max_bits))
     m = len(bounds)
     diff = a.bitwiseXOR(b)
     part = [F.bit_count(_segment(diff, low, bits)) for low, bits in bounds]

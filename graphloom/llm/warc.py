@@ -161,7 +161,7 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         system, path = _filesystem(self.path)
         info = system.get_file_info(path)
-        files = [info] if info.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(path, recursive=True))
+        files = [info] if info.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(path, allow_not_found=True, recursive=True))
         found = sorted((f.path for f in files if f.type == pafs.FileType.File and f.path.endswith((".warc", ".warc.gz"))))
         prefix = "" if "://" not in self.path or self.path.startswith("file:") else self.path.split("://")[0] + "://"
         return [ArchiveFile(prefix + f) for f in found] or [ArchiveFile("")]
