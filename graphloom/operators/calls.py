@@ -50,7 +50,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, file
     found = local.unionByName(by_import).unionByName(by_package).distinct()
     each = W.partitionBy("id")
     found = found.withColumn("n", F.count(F.lit(1)).over(each)).withColumn("ordinal", F.row_number().over(each.orderBy("dst_file_id", "dst_symbol_id")))
-    last = symbols.groupBy("file_id", F.col("name").alias("enclosing")).agg(F.max("id").alias("src_symbol_id"))
+    last = symbols.groupBy("file_id", F.col("name").alias("enclosing")).agg(F.max_by("id", F.struct("start_line", "id")).alias("src_symbol_id"))  # the last of a name counts
     edges = calls.join(found, "id", "left").join(last, ["file_id", "enclosing"], "left")
     tier = F.when(F.col("n").isNull(), F.lit("unresolved")).when(F.col("n") == 1, F.lit("heuristic")).otherwise(F.lit("ambiguous"))
     return edges.select(

@@ -11,8 +11,8 @@ from ..schemas import CONFIDENCES
 
 #: Base names that start a program, by language (fixed values).
 ENTRY_BASENAMES = (
-    "index.ts", "main.ts", "server.ts", "app.ts", "index.tsx", "main.tsx", "app.tsx", "index.js", "main.js", "server.js", "app.js", "index.jsx",
-    "__main__.py", "main.py", "app.py", "manage.py", "wsgi.py", "asgi.py", "main.go", "Main.java", "Application.java", "main.rs", "lib.rs",
+    "index.ts", "main.ts", "server.ts", "app.ts", "cli.ts", "index.tsx", "index.js", "index.mjs", "main.js", "server.js", "app.js", "cli.js",
+    "__main__.py", "main.go", "Main.java", "main.rs",
 )
 
 

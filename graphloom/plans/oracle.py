@@ -96,7 +96,7 @@ ORACLES: dict[str, str] = {
     "internal_target_fraction": sql("select floor(cast(count(*) filter (where confidence<>'unresolved') as double)/count(*)*10000+cast(0.5 as double))/cast(10000 as double) as fraction from edges"),
     "top_modules": sql("select case when path like '%/%' then split_part(path,'/',1) else '.' end as module, count(distinct f.id) as files, count(s.id) as symbols from files f left join symbols s on s.file_id=f.id group by 1"),
     "entry_points": sql(r"select path from files where path='pkg0/blue_widget_1.py' or regexp_matches(path, '0\.ts$') or regexp_extract(path,'[^/]*$') in ('index.ts','main.ts','main.py','main.go','Main.java','main.rs','lib.rs')"),
-    "symbol_search_exact": sql("select s.id, s.name, f.path, count(*) over () as total from symbols s join files f on f.id=s.file_id where s.name='sym_8' and s.exported order by length(s.name), s.name, f.path, s.id limit 50"),
+    "symbol_search_exact": sql("select s.id, s.name, f.path, count(*) over () as total from symbols s join files f on f.id=s.file_id where s.name='sym_8' and not s.exported order by length(s.name), s.name, f.path, s.id limit 50"),
     "symbol_search_partial": sql("select s.id, s.name, f.path, count(*) over () as total from symbols s join files f on f.id=s.file_id where contains(lower(s.name),'ym_1') and s.kind='function' and starts_with(lower(f.path),'pkg1') and f.lang='python' order by length(s.name), s.name, f.path, s.id limit 200"),
     "symbol_callers_callees": sql("select s.id, s.name, coalesce(i.n,0) as caller_count, coalesce(o.n,0) as callee_count from symbols s left join (select dst_symbol_id as id, count(*) as n from edges group by 1) i on i.id=s.id left join (select src_symbol_id as id, count(*) as n from edges group by 1) o on o.id=s.id"),
     "module_surface": sql(f"select {module('f.path')} as module, s.name, s.kind, f.path, s.start_line from symbols s join files f on f.id=s.file_id where s.exported"),
@@ -142,3 +142,45 @@ ORACLES: dict[str, str] = {
  union all select path, line, 'text', null, left(regexp_replace(content,'^\\s+|\\s+$','','g'),200), 20, 0, 0 from (select source||'/doc_'||cast(doc_id as varchar)||'.txt' as path, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)),1) as line from documents) where contains(lower(content),'sym_1'))) where k=1 order by score desc, path, line limit 500"""
     ),
 }
+
+_NEXT = "from files f join files t on t.id=f.id+6"
+_STEM = "regexp_replace(regexp_extract(t.path,'[^/]*$'),'[.]ts$','')"
+_DIR = "case when {p} like '%/%' then regexp_replace({p},'/[^/]*$','') else '' end"
+_F, _T = _DIR.format(p="f.path"), _DIR.format(p="t.path")
+_PARENT = _DIR.format(p="(" + _F + ")")
+
+ORACLES |= {
+    "resolve_javascript": sql(
+        f"""select x.id, x.specifier, k.path as resolved, case when k.path is null then 'unresolved' else 'resolved' end as confidence from (
+ select f.id, case when f.id%12=0 then './'||{_STEM} when f.id%4=0 then 'lodash' when f.id%4=2 then '../'||regexp_extract({_T},'[^/]*$')||'/'||{_STEM}||'.js' else './'||{_STEM} end as specifier,
+  case when f.id%12=0 then {_F}||'/'||{_STEM} when f.id%4=0 then null when f.id%4=2 then case when {_PARENT}='' then '' else {_PARENT}||'/' end||regexp_extract({_T},'[^/]*$')||'/'||{_STEM} else {_F}||'/'||{_STEM} end||'.ts' as candidate
+ {_NEXT} where f.lang='typescript') x left join files k on k.path=x.candidate"""
+    ),
+    "resolve_python": sql(f"select f.id, case when f.id%5=0 then 'os.path' else replace(regexp_replace(t.path,'[.]py$',''),'/','.')||case when f.id%2=0 then '' else '.Item' end end as specifier, case when f.id%5=0 then null else t.path end as resolved, case when f.id%5=0 then 'unresolved' else 'resolved' end as confidence {_NEXT} where f.lang='python'"),
+    "resolve_java": sql(f"select f.id, replace(regexp_replace(regexp_replace(t.path,'^[^/]*/',''),'[.]java$',''),'/','.')||case when f.id%5=0 then '.*' else '' end as specifier, case when f.id%5=0 then null else t.path end as resolved, case when f.id%5=0 then 'unresolved' else 'resolved' end as confidence {_NEXT} where f.lang='java'"),
+    "resolve_go": sql(f"select f.id, case when f.id%5=0 then 'fmt' else 'example.com/m/'||{_T} end as specifier, case when f.id%5=0 then null else (select min(g.path) from fm g where g.lang='go' and g.module={_T}) end as resolved, case when f.id%5=0 then 'unresolved' else 'resolved' end as confidence {_NEXT} where f.lang='go'"),
+}
+
+_STATES = """,
+nowf as (select path, case when id%19=0 then null else sha256(path||case when id%13=0 then '!' else '' end) end as h from files where id%17<>0),
+oldf as (select path, sha256(path) as h from files where id%11<>0),
+delta as (select coalesce(n.path,o.path) as path, case when n.path is null then 'deleted' when o.path is not null and n.h=o.h then 'unchanged' else 'changed' end as status from nowf n full outer join oldf o on n.path=o.path)"""
+_AS_FILES = """with d as (select case when doc_id%9=0 then 'vendor/' else 'lib/' end||source||'/f'||cast(doc_id as varchar)||case when doc_id%7=0 then '.min.js' when doc_id%3=0 then '.py' else '.txt' end as path, text from documents)"""
+
+ORACLES |= {
+    "changeset": sql("select path, status from delta", _STATES),
+    "dilation": sql(
+        """select path from (
+ select path from touched union select s.path from links l join files s on s.id=l.src join files r on r.id=l.dst where r.path in (select path from touched)
+ union select path from fm where lang in ('go','java') and (lang, module) in (select lang, module from fm where path in (select path from touched))
+ union select s.path from links l join fm s on s.id=l.src and s.lang='go' join fm r on r.id=l.dst where r.module in (select module from fm where lang='go' and path in (select path from touched))
+) where path not in (select path from delta where status='deleted')""",
+        _STATES + ",\ntouched as (select path from delta where status<>'unchanged')",
+    ),
+    "skip_breakdown": _AS_FILES + " select case when path like 'vendor/%' then 'vendored' when strlen(text)*50>1000000 then 'too-large' when path like '%.min.js' then 'minified' when path like '%.py' and length(text)/greatest(1,len(string_split(text,chr(10))))>500 then 'minified' else 'indexed' end as reason, count(*) as files from d group by 1",
+    "file_metrics": _AS_FILES + " select path, case when path like '%.min.js' then '.js' when path like '%.py' then '.py' else '.txt' end as extension, case when path like '%.min.js' then 'javascript' when path like '%.py' then 'python' end as lang, case when text='' then 0 else len(string_split(text,chr(10)))-cast(ends_with(text,chr(10)) as int) end as loc, sha256(text) as content_hash from d",
+    "path_functions": sql(f"select f.path, case when {_PARENT}='' then '' else {_PARENT}||'/' end||'x/'||regexp_extract(f.path,'[^/]*$') as folded, cast(case when f.path like 'pkg1/m1/%' then 2 when f.path like 'pkg1/%' then 1 else 0 end as bigint) as shared from files f"),
+    "manifest_values": "select event_id, cast(json_extract_string(props,'$.k') as bigint) as k from events",
+    "truncation_totals": sql("select id, name, count(*) over () as total from symbols where exported order by id limit 25"),
+    "windowed_churn": "select date_trunc('hour', ts) as start, event_type, count(*) as events, count(distinct user_id) as users from events group by 1,2",
+}

@@ -97,7 +97,7 @@ def entry_points(g: Graph) -> DataFrame:
 
 @query
 def symbol_search_exact(g: Graph) -> DataFrame:
-    found = search.find_symbols(_hits(g), 50, name="sym_8", exported=True)
+    found = search.find_symbols(_hits(g), 50, name="sym_8", exported=False)
     return found.select("id", "name", "path", "total")
 
 

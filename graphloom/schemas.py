@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 SCHEMA_VERSION = 2
 
 #: Confidence tiers from weakest to strongest; the rank is the position.
@@ -18,13 +16,13 @@ EDGES = "id bigint, src_file_id bigint, src_symbol_id bigint, dst_file_id bigint
 SUMMARIES = "scope string, target string, content_hash string, summary string, created_at bigint"
 META = "key string, value string"
 
-PARSED_FILE = T._parse_datatype_string(
-    "path string, lang string, content_hash string, loc int, "
-    "symbols array<struct<name: string, kind: string, start_line: int, end_line: int, exported: boolean, signature: string, parent_name: string>>, "
-    "imports array<struct<specifier: string, kind: string, line: int>>, "
-    "call_sites array<struct<name: string, line: int, enclosing_symbol: string, kind: string>>, "
-    "errors array<struct<line: int, message: string>>"
-)
+PARSED_LISTS = {
+    "symbols": "array<struct<name: string, kind: string, start_line: int, end_line: int, exported: boolean, signature: string, parent_name: string>>",
+    "imports": "array<struct<specifier: string, kind: string, line: int>>",
+    "call_sites": "array<struct<name: string, line: int, enclosing_symbol: string, kind: string>>",
+    "errors": "array<struct<line: int, message: string>>",
+}
+PARSED_FILE = "path string, lang string, content_hash string, loc int, " + ", ".join(f"{k} {v}" for k, v in PARSED_LISTS.items())
 
 #: Ranges and defaults of the public queries' arguments.
 LIMIT = (1, 500, 50)
