@@ -22,12 +22,12 @@ RECORD, UNIT = "\x1e", "\x1f"
 
 
 def git(root: str, *args: str) -> str | None:
-    """Trimmed output of a git command; None on any failure.  Output is streamed, of any size."""
+    """Trimmed output of a git command; None on any failure.  (A bare strip() would take the record separator too.)"""
     try:
         done = subprocess.run(["git", "-C", root, *args], capture_output=True, check=False)
     except OSError:
         return None
-    return done.stdout.decode("utf-8", "replace").strip() if done.returncode == 0 else None
+    return done.stdout.decode("utf-8", "replace").strip(" \t\r\n") if done.returncode == 0 else None
 
 
 def is_git(root: str) -> bool:

@@ -87,11 +87,9 @@ def first_build(spark, tmp_path_factory):
 @pytest.mark.parametrize(
     "edits",
     [
-        {"src/helper.ts": "export function helper() { return 2 }\nexport function unused() {}\n"},
-        {"src/helper.ts": "export function renamed() { return 1 }\n"},
-        {"src/services/notify.ts": None},
+        {"src/helper.ts": "export function renamed() { return 1 }\n", "README.md": "edited\n"},
+        {"src/services/notify.ts": None, "pkg/helper/__init__.py": "def helper():\n    return 3\n", "src/extra.ts": "import { helper } from './helper'\nhelper()\n"},
         {"one/c.go": "package one\nfunc low2() {}\n", "one/b.go": "package one\n", "src/services/notify/index.ts": "export const x = 1\n"},
-        {"pkg/helper/__init__.py": "def helper():\n    return 3\n", "src/extra.ts": "import { helper } from './helper'\nhelper()\n"},
     ],
 )
 def test_refresh_equals_rebuild(spark, first_build, tmp_path, edits):
