@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, language_id, mixing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
 from .common import documents, held_out, table
+from .oracle import ORACLES
 
 #: Target token shares of op10 and of the pipeline's last stage.
 TARGET_WEIGHTS = {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
@@ -101,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
