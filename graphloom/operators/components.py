@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import module_of
 from ..session import materialize
 
-#: Up to so many edges (after trimming) one task runs the linear algorithm; beyond, rounds of joins do.
+#: Up to so many edges one task runs the linear algorithm; more are trimmed first, and if still too many, rounds of joins do it.
 ONE_TASK_EDGES = 200_000
 
 
@@ -76,9 +76,13 @@ def strong_components(edges: DataFrame, *, one_task_edges: int = ONE_TASK_EDGES)
 
     ``edges`` has (src, dst), without self-edges.
     """
-    core = trim(edges.select("src", "dst").distinct())
+    core = materialize(edges.select("src", "dst").distinct(), "scc")
     kind = core.schema["src"].dataType.simpleString()
-    if core.count() <= one_task_edges:
+    many = core.count()
+    if many > one_task_edges:
+        core = trim(core)
+        many = core.count()
+    if many <= one_task_edges:
 
         def run(batches):
             rows = [x for pdf in batches for x in zip(pdf["src"], pdf["dst"], strict=True)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import module_of
 from ..functions.scores import at_least, four_digits
-from ..session import discard, materialize
+from ..session import materialize
 
 
 def file_links(imports: DataFrame, files: DataFrame, *, self_links: bool = False) -> DataFrame:
@@ -51,6 +51,8 @@ def bfs(links: DataFrame, start: DataFrame, depth: int, direction: str = "out")
     one round at most.
     """
     step = links if direction == "out" else links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if depth > 1:
+        step = materialize(step.select("src", "dst"), "bfs-links")  # every round reads it
     frontier = materialize(start.select("node").distinct(), "bfs")
     seen = [frontier.select("node", F.lit(0).alias("depth"))]
     limited = not frontier.isEmpty()
@@ -79,17 +81,10 @@ def symbol_walk(edges: DataFrame, start: DataFrame, depth: int, direction: str =
     usable = edges.where(at_least("confidence", min_confidence))
     if kind is not None:
         usable = usable.where(F.col("kind") == kind)
+    usable = materialize(usable, "walk")  # read for the links and again for the edges
     near, far = ("src_symbol_id", "dst_symbol_id") if direction == "out" else ("dst_symbol_id", "src_symbol_id")
     links = usable.where(F.col(near).isNotNull() & F.col(far).isNotNull()).select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct()
     reached, limited = bfs(links, start, depth)
     first = start.select("node", F.lit(0).alias("depth")).distinct().unionByName(reached.where(F.col("depth") < depth))
     out = usable.join(first.select(F.col("node").alias(near), (F.col("depth") + 1).alias("depth")), near)
     return out.select(*edges.columns, "depth"), limited
-
-
-def ancestors_within(candidates: DataFrame, marked: DataFrame) -> DataFrame:
-    """Nearest marked ancestor: rows (id, dir, rank) against directories; lowest rank wins."""
-    return candidates.join(marked, "dir", "left_semi").groupBy("id").agg(F.min_by("dir", "rank").alias("dir"))
-
-
-__all__ = ["ancestors_within", "bfs", "coupling", "discard", "file_edges", "file_links", "module_edges", "symbol_walk"]
