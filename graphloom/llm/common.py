@@ -2,46 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set."""
-    here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not here:
-        import tempfile
-
-        here = spark.conf.get("spark.graphloom.scratch", None)
-        if not here:
-            here = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-            spark.conf.set("spark.graphloom.scratch", here)
-    return here.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs only the tasks of later steps.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables that ``materialize`` wrote and nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_graphloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+__all__ = ["discard", "documents", "held_out", "materialize", "release", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

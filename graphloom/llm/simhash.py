@@ -15,11 +15,12 @@ chain and only what survives meets the full Hamming check.  No link is lost
 and nothing is capped.
 
 Work follows the distinct fingerprints, not the documents: exact copies fold
-into one fingerprint before any join.  Linking runs in two rounds.  The first
-links every fingerprint to the smallest one that shares its chain key, which
-takes a dense group apart in linear work; the second joins the full candidate
-sets but only keeps links between different groups of round one, so a large
-group of near copies never emits its pairs.
+into one fingerprint before any join.  Linking runs in three rounds.  The first
+links every fingerprint to the smallest one that shares its chain key, the
+second to the smallest one at each variant of it; both are linear in the
+fingerprints, and together they leave few groups of a dense cloud apart.  The
+third joins the full candidate sets but only keeps links between different
+groups, so a large group of near copies never emits its pairs.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; texts with fewer words than a
@@ -164,27 +165,35 @@ def _chain_holds(a, b, max_bits: int):
     return found
 
 
-def fingerprint_links(distinct: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between distinct fingerprints ``fp``, and the first round's groups.
+def _grouped(distinct: DataFrame, links: DataFrame, label: str) -> DataFrame:
+    """(fp, g): every fingerprint with the component that ``links`` give it."""
+    groups = materialize(connected_components(links), label)
+    return distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("g"))
+
+
+def fingerprint_links(distinct: DataFrame, max_bits: int) -> list[DataFrame]:
+    """Links (a, b) between distinct fingerprints ``fp``, found in three rounds.
 
     Every pair of fingerprints within ``max_bits`` bits is connected by the
     returned links, though not each pair is listed.
     """
-    fp = F.col("fp")
-    exact = distinct.select("fp", F.explode(_chain_keys(fp, max_bits, False)).alias("key"))
-    lowest = exact.groupBy("key").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= max_bits
-    first = exact.join(lowest, "key").where(near & (F.col("fp") != F.col("head"))).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    first = materialize(first, "simhash-first")
-    groups = materialize(connected_components(first), "simhash-groups")
-    tagged = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", F.coalesce("component", "fp").alias("g"))
-    left = tagged.select(F.col("fp").alias("a"), F.col("g").alias("ga"), F.explode(_chain_keys(fp, max_bits, True)).alias("key"))
-    right = tagged.select(F.col("fp").alias("b"), F.col("g").alias("gb"), F.explode(_chain_keys(fp, max_bits, False)).alias("key2"))
     a, b = F.col("a"), F.col("b")
     full = F.bit_count(a.bitwiseXOR(b)) <= max_bits
+    exact = distinct.select(F.col("fp").alias("a"), F.explode(_chain_keys(F.col("fp"), max_bits, False)).alias("key"))
+    heads = materialize(exact.groupBy("key").agg(F.min("a").alias("b")), "simhash-heads")
+    first = materialize(exact.join(heads, "key").where((a != b) & full).select("a", "b").distinct(), "simhash-first")
+    tagged = _grouped(distinct, first, "simhash-groups")
+    heads_of = heads.withColumnRenamed("b", "fp").join(tagged, "fp").select(F.col("fp").alias("b"), F.col("g").alias("gb"), F.col("key").alias("key2"))
+
+    def probes(tagged: DataFrame) -> DataFrame:
+        return tagged.select(F.col("fp").alias("a"), F.col("g").alias("ga"), F.explode(_chain_keys(F.col("fp"), max_bits, True)).alias("key"))
+
     meets = (F.col("key") == F.col("key2")) & (F.col("ga") != F.col("gb")) & _chain_holds(a, b, max_bits) & full
-    second = left.join(right, meets).select("a", "b").distinct()
-    return first, second
+    second = materialize(probes(tagged).join(heads_of, meets).select("a", "b").distinct(), "simhash-second")
+    tagged = materialize(_grouped(distinct, first.unionByName(second), "simhash-groups"), "simhash-tagged")
+    index = tagged.select(F.col("fp").alias("b"), F.col("g").alias("gb"), F.explode(_chain_keys(F.col("fp"), max_bits, False)).alias("key2"))
+    third = probes(tagged).join(index, meets).select("a", "b").distinct()
+    return [first, second, third]
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,11 +202,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, max_bits: int = 4, id_co
         raise ValueError("max_bits must lie between 0 and 20")
     prints = materialize(fingerprints(docs, width=width, id_col=id_col, text_col=text_col), "simhash-fp")
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    first, second = fingerprint_links(distinct.select("fp"), max_bits)
-    links = materialize(first.unionByName(second), "simhash-links")
+    first, second, third = fingerprint_links(distinct.select("fp"), max_bits)
+    links = materialize(first.unionByName(second).unionByName(third), "simhash-links")
     members = materialize(connected_components(links), "simhash-members")
     classes = distinct.join(members, distinct.fp == members.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     named = classes.join(classes.groupBy("c").agg(F.min("least").alias("component")), "c").select("fp", "component")
-    out = prints.join(named, "fp").select("id", "fp", "component").distinct()
-    discard(first, links)
+    # Written first: the join can split the fingerprint of a large group of copies only between plain exchanges.
+    out = prints.join(materialize(named, "simhash-named"), "fp").select("id", "fp", "component").distinct()
+    discard(first, second, links)
     return out

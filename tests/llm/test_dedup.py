@@ -132,8 +132,8 @@ def test_fingerprint_links_connect_random_clusters(spark):
                 x ^= 1 << b
             prints.add(x - (1 << 64) if x >= 1 << 63 else x)
     prints = sorted(prints)
-    first, second = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), 4)
-    got = {r["node"]: r["component"] for r in components.connected_components(first.unionByName(second)).collect()}
+    first, second, third = simhash.fingerprint_links(spark.createDataFrame([(p,) for p in prints], "fp bigint"), 4)
+    got = {r["node"]: r["component"] for r in components.connected_components(first.unionByName(second).unionByName(third)).collect()}
     label = {p: p for p in prints}
     moved = True
     while moved:
