@@ -139,8 +139,8 @@ def chunks(batches, by_key: bool) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def _long_prefixes(hot: DataFrame, width: int, words: bool, earlier_only: bool, kind: str) -> DataFrame:
-    """Step 5: repeated windows of the hottest anchors, by whole-window keys."""
+def _window_rows(hot: DataFrame, width: int, words: bool, kind: str) -> DataFrame:
+    """(w, id, s): the key of every window of the hottest anchors' runs."""
 
     def run(batches):
         for batch in batches:
@@ -154,7 +154,11 @@ def _long_prefixes(hot: DataFrame, width: int, words: bool, earlier_only: bool,
                 ids = part.column(part.schema.get_field_index("id")).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), ids, pa.array((lo[row] + begin - count[row]).astype(np.int32))], names=["w", "id", "s"])
 
-    seen = hot.mapInArrow(run, f"w bigint, id {kind}, s int")
+    return hot.mapInArrow(run, f"w bigint, id {kind}, s int")
+
+
+def _long_prefixes(seen: DataFrame, width: int, earlier_only: bool) -> DataFrame:
+    """Step 5: the repeated ones among written window rows (w, id, s)."""
     # Written first: a join splits a hot key only where both its sides are plain exchanges.
     many = materialize(seen.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "s")).alias("head")).where("c > 1"), "windows")
     joined = seen.join(many, "w")
@@ -200,12 +204,17 @@ def repeated_ranges(docs: DataFrame, *, width: int, gram: int, words: bool, earl
         return met.where(F.col("c") > HOT_RUNS if hot else F.col("c") <= HOT_RUNS)
 
     tidy = some(False).drop("c").repartition(parts, "key").sortWithinPartitions(*order)
-    found = tidy.mapInArrow(group, f"id {kind}, s int, e int")
+    found = tidy.mapInArrow(group, f"id {kind}, s int, e int").withColumn("w", F.lit(None).cast("bigint"))
     if hottest > HOT_RUNS:
-        found = found.unionByName(_long_prefixes(some(True), width, words, earlier_only, kind))
-    out = materialize(found, "ranges")
+        # One write for both, so that the texts are shuffled once.
+        rows = _window_rows(some(True), width, words, kind).withColumn("e", F.lit(None).cast("int"))
+        found = found.unionByName(rows)
+    found = materialize(found, "ranges")
     discard(kept)
     release(spark)
+    out = found.where("w is null").select("id", "s", "e")
+    if hottest > HOT_RUNS:
+        out = out.unionByName(_long_prefixes(found.where("w is not null").select("w", "id", "s"), width, earlier_only))
     return out
 
 
