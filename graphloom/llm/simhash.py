@@ -70,13 +70,13 @@ def majority_bits(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_fingerprints(column, width: int) -> np.ndarray:
-    """Fingerprint of each text of an Arrow column."""
-    out = np.zeros(len(column), np.uint64)
+def shingle_hashes(column, width: int):
+    """(lo, hi, hashes, offsets) of each block: the hashes of its texts' word shingles."""
     xx = xxhash.xxh64_intdigest
     for lo, hi, buf, off in K.blocks(column):
         starts, ends, words = K.tokens(buf, off, K.SPACE_WORD)
         if not len(starts):
+            yield lo, hi, np.zeros(0, np.uint64), np.zeros(hi - lo + 1, np.int64)
             continue
         size = ends - starts
         to = np.cumsum(size + 1) - size - 1  # words end to end, one space between
@@ -97,7 +97,14 @@ def text_fingerprints(column, width: int) -> np.ndarray:
         raw = joined.tobytes()
         spans = zip(to[begin].tolist(), (to[end_word] + size[end_word]).tolist(), strict=True)
         hashes = np.fromiter((xx(raw[a:b], SEED) for a, b in spans), np.uint64, len(begin))
-        out[lo:hi] = majority_bits(hashes, np.searchsorted(begin, words))
+        yield lo, hi, hashes, np.searchsorted(begin, words)
+
+
+def text_fingerprints(column, width: int) -> np.ndarray:
+    """Fingerprint of each text of an Arrow column."""
+    out = np.zeros(len(column), np.uint64)
+    for lo, hi, hashes, off in shingle_hashes(column, width):
+        out[lo:hi] = majority_bits(hashes, off)
     return out
 
 

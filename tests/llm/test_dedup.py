@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from graphloom.llm import components, repeats, simhash, substring_dedup, suffix_dedup
+from graphloom.llm import components, near_copies, repeats, simhash, substring_dedup, suffix_dedup
 from graphloom.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -157,3 +157,43 @@ def test_empty_tables_and_missing_ids(spark, empty_docs):
     odd = spark.createDataFrame([(None, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "z")], "doc_id bigint, text string, id string").withColumn("key", F.lit(1)).withColumn("component", F.lit(2))
     assert [r["component"] for r in simhash.near_duplicates(odd).collect()] == [1]
     assert substring_dedup.digest(odd).count() == 2 and suffix_dedup.digest(odd).count() == 2
+
+
+def test_near_copies_match_brute_force(spark, monkeypatch):
+    """Pairs from far below to above the threshold; SimHash at seven bits misses some of those that reach it."""
+    import random
+
+    monkeypatch.setattr(near_copies, "SAMPLE_DOCS", 60)
+    rng = random.Random(3)
+    line = [f"license{i}" for i in range(25)]
+    texts = {}
+    for i in range(0, 240, 2):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([20, 60, 150]))]
+        if i % 3 == 0:
+            w = w[:10] + line + w[10:]
+        v = list(w)
+        for k in rng.sample(range(len(v)), 1 + i % 7 * len(v) // 150):
+            v[k] = "changed"
+        texts[i], texts[i + 1] = " ".join(w), " ".join(v)
+    cloud = [f"c{i}" for i in range(120)]
+    for i in range(30):
+        texts[300 + i] = " ".join([*cloud[: 115 - i % 4], f"own{i}", *cloud[116:]])
+    texts |= {400: None, 401: "", 402: "two words", 403: "Two  words", 404: texts[0] + " ", 405: " ".join(["same"] * 80)}
+
+    def shingles(t):
+        w = WORD.findall((t or "").lower())
+        return frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1))))
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    label, far = {i: i for i in texts}, 0
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
+                far += bin(brute_fingerprint(texts[a] or "", 5) ^ brute_fingerprint(texts[b] or "", 5)).count("1") > 7
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {i: new if c == old else c for i, c in label.items()}
+    assert far > 3
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
+    assert got == label
+    assert near_copies.near_copies(docs.where("false")).isEmpty()
