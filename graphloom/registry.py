@@ -181,6 +181,13 @@ def symbol_walk(g: Graph) -> DataFrame:
     return found.select("id", "ordinal", "dst_name", "confidence", "depth")
 
 
+@query
+def symbol_walk_whole(g: Graph) -> DataFrame:
+    """The unfiltered walk from every symbol of the name; it has no SQL and is held to brute force."""
+    found, _ = structure.symbol_walk(_edges(g), g.symbols.where("name = 'sym_8'").select(F.col("id").alias("node")), 3, "out")
+    return found.select("id", "ordinal", "dst_name", "confidence", "depth")
+
+
 @query
 def symbol_walk_filtered(g: Graph) -> DataFrame:
     found, _ = structure.symbol_walk(_edges(g), g.symbols.where("name = 'sym_8'").select(F.col("id").alias("node")), 3, "out", "calls", "heuristic")

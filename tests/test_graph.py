@@ -134,6 +134,26 @@ def test_symbol_walk_emits_every_edge_once_per_first_visit(spark):
     assert sorted((r["id"], r["depth"]) for r in found.collect()) == [(1, 1), (2, 2)]
 
 
+def test_symbol_walk_whole_starts_from_every_symbol_of_the_name(spark):
+    from collections import Counter
+
+    from graphloom import registry
+    from graphloom.plans.projection import project
+
+    data = "/root/testdata/sf0.001"
+    g = project(spark, data)
+    edges = registry._edges(g).collect()
+    start = {r["id"]: r["file_id"] for r in g.symbols.where("name = 'sym_8'").collect()}
+    assert any(f >= 40 for f in start.values())
+    depth, level = dict.fromkeys(start, 0), set(start)
+    for d in range(1, 3):
+        level = {e["dst_symbol_id"] for e in edges if e["src_symbol_id"] in level} - {None} - set(depth)
+        depth |= dict.fromkeys(level, d)
+    want = Counter((e["id"], e["ordinal"], e["dst_name"], e["confidence"], depth[e["src_symbol_id"]] + 1) for e in edges if e["src_symbol_id"] in depth)
+    assert {"ambiguous"} <= {e["confidence"] for e in edges if e["src_symbol_id"] in depth}
+    assert Counter(tuple(r) for r in registry.queries()["symbol_walk_whole"](spark, data).collect()) == want
+
+
 def edge(dst, name, line=1, path="m/a.ts"):
     return {"dst_symbol_id": dst, "dst_name": name, "dst_symbol_name": name, "dst_path": path if dst else None, "line": line, "confidence": "heuristic"}
 
