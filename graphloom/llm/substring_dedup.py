@@ -15,7 +15,7 @@ hashes), so a node at full depth agrees in five letters of 64 bits.
 Defined results: null and empty texts have no words; a text shorter than a
 window has none; copies (texts or whole rows) repeat each other, so all their
 windows go; rows that share an id share their ranges; rows without an id are
-left out; an empty table gives an empty result; clashing extra columns are
+left out (``drop_repeats`` keeps them as they are); an empty table gives an empty result; clashing extra columns are
 kept as they are by ``drop_repeats`` and ignored otherwise.
 """
 
@@ -129,7 +129,7 @@ def drop_repeats(docs: DataFrame, *, min_words: int = 35, id_col: str = "doc_id"
 
     The bytes from a removed stretch's first word up to the next kept word go;
     the rest of the text, its spacing included, stays.  A document of which no
-    word is left goes; one that had no word stays.
+    word is left goes; one that had no word stays, and so do rows without an id.
     """
     names, at_id, at_text = docs.columns, docs.columns.index(id_col), docs.columns.index(text_col)
     inner = docs.where(F.col(id_col).isNotNull()).toDF(*(f"c{i}" for i in range(len(names)))).withColumnRenamed(f"c{at_id}", "id")
@@ -159,4 +159,4 @@ def drop_repeats(docs: DataFrame, *, min_words: int = 35, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(stay))
 
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, docs.schema.fields, strict=True))
-    return met.mapInArrow(run, schema).toDF(*names)
+    return met.mapInArrow(run, schema).toDF(*names).unionByName(docs.where(F.col(id_col).isNull()))

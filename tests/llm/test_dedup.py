@@ -197,3 +197,9 @@ def test_near_copies_match_brute_force(spark, monkeypatch):
     got = {r["id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
     assert got == label
     assert near_copies.near_copies(docs.where("false")).isEmpty()
+
+
+def test_drop_repeats_keeps_rows_without_an_id(spark):
+    p = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"head {p} tail"), (2, p), (None, "clean text")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["text"]) for r in substring_dedup.drop_repeats(docs).collect()} == {(1, "head tail"), (None, "clean text")}
