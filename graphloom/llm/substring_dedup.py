@@ -1,22 +1,26 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-The suffixes of the corpus, cut at word starts, are split by a prefix that
-the text itself chooses (see ``repeats``): an anchor of some words, extended
-to the whole window for the few prefixes whose group would outgrow a task.
-Suffixes whose prefix is unique cannot repeat and never form a group.  Each
-memory-sized set of groups becomes a suffix tree of bounded depth, held as
-its sorted leaves and the depth of the common prefix of neighbours: an
-internal node is a maximal stretch of leaves that agree to its depth, and the
-nodes at least ``min_words`` deep with two leaves or more are the repeats.
-
-The tree's letters are runs of words (a fifth of the window each, as 64-bit
-hashes), so a node at full depth agrees in five letters of 64 bits.
+The suffixes that begin at anchors (see ``repeats``; every window holds one)
+are split by their first words, a prefix that grows for the few prefixes whose
+group would outgrow a task.  Suffixes whose prefix is unique cannot repeat and
+never form a group.  Each memory-sized set of groups becomes a sparse suffix
+tree, held as its sorted leaves and the depth of the common prefix of
+neighbours: an internal node is a maximal stretch of leaves that agree to its
+depth.  A second tree of the same leaves reads backwards from the anchors.  A
+window that begins j words before its anchor repeats if another leaf lies
+below the same node at depth ``min_words`` - j of the one tree and at depth j
+of the other; such leaves share a repeat of at least ``min_words`` words, and
+a repeat is maximal where the nodes are no deeper on either side.
+
+The trees' letters are the words themselves, numbered within the bucket by
+their bytes; nothing is decided by a hash of a window.
 
 Defined results: null and empty texts have no words; a text shorter than a
 window has none; copies (texts or whole rows) repeat each other, so all their
-windows go; rows that share an id share their ranges; rows without an id are
-left out (``drop_repeats`` keeps them as they are); an empty table gives an empty result; clashing extra columns are
-kept as they are by ``drop_repeats`` and ignored otherwise.
+windows go; rows that share an id but not a text, and rows without an id, are
+documents of their own; an empty table gives an empty result; extra columns,
+clashing names included, are kept as they are by ``drop_repeats`` and ignored
+otherwise.
 """
 
 from __future__ import annotations
@@ -26,70 +30,87 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
-from .repeats import context_blocks, range_lists, repeated_ranges, units, with_ranges
+from .repeats import ROW, context_blocks, identified, named, range_lists, repeated_ranges, shapes, whole_buckets, with_ranges
 
-LETTERS = 5
+#: Bytes of contexts in a bucket.
+BUCKET_BYTES = 4 << 20
 
 
 class SuffixTree:
-    """The truncated suffix tree of a set of window suffixes.
+    """The suffix tree of some letter sequences, cut at the sequences' length.
 
-    ``leaves`` sorts the suffixes; ``depth[i]`` is how many letters leaf i and
-    its predecessor share.  Subtrees at depth d are stretches of depth >= d.
+    ``leaves`` sorts the rows of ``letters``; ``depth[i]`` is how many letters
+    leaf i and its predecessor share.  The nodes at depth d are the stretches
+    of depth >= d.
     """
 
-    def __init__(self, codes: np.ndarray, begin: np.ndarray, width: int):
-        step = -(-width // LETTERS)
-        places = sorted({min(i * step, width - step) for i in range(LETTERS)})
-        letters = K.mix(K.window_hashes(codes, step))
-        columns = [letters[begin + p] for p in places]
-        self.leaves = np.lexsort(columns[::-1])
-        agree = np.ones(max(len(begin) - 1, 0), bool)
-        self.depth = np.zeros(len(begin), np.int64)
-        for c in columns:
-            ranked = c[self.leaves]
-            agree &= ranked[1:] == ranked[:-1]
-            self.depth[1:] += agree
-        self.full = len(columns)
-
-    def repeats(self) -> np.ndarray:
-        """Mask over the suffixes: below an internal node of full depth."""
-        same = np.append(self.depth >= self.full, False)
-        out = np.empty(len(self.leaves), bool)
-        out[self.leaves] = same[1:] | same[:-1]
+    def __init__(self, letters: np.ndarray):
+        self.leaves = np.lexsort(letters.T[::-1]) if letters.shape[1] else np.arange(len(letters))
+        ranked = letters[self.leaves]
+        self.depth = np.zeros(len(letters), np.int64)
+        self.depth[1:] = np.logical_and.accumulate(ranked[1:] == ranked[:-1], axis=1).sum(axis=1)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """Of every leaf, the number of its ancestor at this depth."""
+        out = np.empty(len(self.leaves), np.int64)
+        out[self.leaves] = np.cumsum(self.depth < depth)
         return out
 
 
-def tree_index(width: int):
-    def mark(part: pa.RecordBatch):
-        buf, off = context_blocks(part)
-        codes, count, _, _ = units(buf, off, True)
-        begin = K.inside_windows(count, width)
-        window_off = np.concatenate([[0], np.cumsum(np.maximum(np.diff(count) - width + 1, 0))])
-        if not len(begin):
-            return np.zeros(0, bool), window_off
-        return SuffixTree(codes, begin, width).repeats(), window_off
+def word_numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal words, by their bytes."""
+    size = ends - starts
+    off = np.concatenate([[0], np.cumsum(size)])
+    source = np.arange(int(off[-1]), dtype=np.int64) + np.repeat(starts - off[:-1], size)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(buf[source])])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def around(codes: np.ndarray, off: np.ndarray, anchor: np.ndarray, size: int, back: bool) -> np.ndarray:
+    """The letters from each anchor on, or before it backwards; -1 beyond the sequence."""
+    at = anchor[:, None] + (-1 - np.arange(size) if back else np.arange(size))
+    inside = (at >= off[:-1, None]) & (at < off[1:, None])
+    return np.where(inside, codes[np.clip(at, 0, max(len(codes) - 1, 0))], -1)
 
-    return mark
+
+def repeated_windows(codes: np.ndarray, off: np.ndarray, n: np.ndarray, place: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """Mask over the windows of all contexts, each context's in order: it occurs in another context too."""
+    window_off = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(int(window_off[-1]), bool)
+    anchor = off[:-1] + place
+    onward, backward = SuffixTree(around(codes, off, anchor, width, False)), SuffixTree(around(codes, off, anchor, width - gram, True))
+    for j in range(width - gram + 1):
+        here = np.flatnonzero((place - n < j) & (j <= place))
+        if len(here) > 1:
+            pair = onward.nodes(width - j)[here] * (len(n) + 1) + backward.nodes(j)[here]
+            out[window_off[here] + place[here] - j] = K.repeated(pair)
+    return out
+
+
+def tree_index(batches, width: int, gram: int):
+    for part in whole_buckets(batches):
+        buf, off = context_blocks(part)
+        starts, ends, count = K.tokens(buf, off, K.SPACE_WORD)
+        _, n, place = shapes(part)
+        yield part, repeated_windows(word_numbers(buf, starts, ends), count, n, place, width, gram)
 
 
-def repeated_words(docs: DataFrame, *, min_words: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s, e): stretches of words inside windows of ``min_words`` that occur elsewhere."""
-    if min_words < 2 * LETTERS:
-        raise ValueError(f"min_words must be at least {2 * LETTERS}")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def repeated_words(rows: DataFrame, *, min_words: int = 35) -> DataFrame:
+    """(row names, s, e): stretches of words inside windows of ``min_words`` that occur elsewhere, of identified rows."""
+    if min_words < 10:
+        raise ValueError("min_words must be at least 10")
     gram = max(3, min(8, min_words // 3))
-    return repeated_ranges(rows, width=min_words, gram=gram, words=True, earlier_only=False, index=tree_index, order=["key"], by_key=True)
+    return repeated_ranges(rows, width=min_words, gram=gram, words=True, earlier_only=False, index=tree_index, order=(*ROW, "at"), bucket_bytes=BUCKET_BYTES)
 
 
 def digest(docs: DataFrame, *, min_words: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) after removing every repeated word."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = identified(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    met = with_ranges(rows, repeated_words(docs, min_words=min_words, id_col=id_col, text_col=text_col))
+    met = with_ranges(rows, repeated_words(rows, min_words=min_words))
+    met = met.select(named(met), "text", "ranges")
 
     def run(batches):
         for batch in batches:
@@ -129,12 +150,13 @@ def drop_repeats(docs: DataFrame, *, min_words: int = 35, id_col: str = "doc_id"
 
     The bytes from a removed stretch's first word up to the next kept word go;
     the rest of the text, its spacing included, stays.  A document of which no
-    word is left goes; one that had no word stays, and so do rows without an id.
+    word is left goes; one that had no word stays.
     """
-    names, at_id, at_text = docs.columns, docs.columns.index(id_col), docs.columns.index(text_col)
-    inner = docs.where(F.col(id_col).isNotNull()).toDF(*(f"c{i}" for i in range(len(names)))).withColumnRenamed(f"c{at_id}", "id")
-    columns = inner.columns
-    met = with_ranges(inner, repeated_words(docs, min_words=min_words, id_col=id_col, text_col=text_col)).select(*columns, "ranges")
+    names, at_text = docs.columns, docs.columns.index(text_col)
+    columns = [f"c{i}" for i in range(len(names))]
+    inner = docs.toDF(*columns)
+    rows = identified(inner, columns[names.index(id_col)], columns[at_text], *columns)
+    met = with_ranges(rows, repeated_words(rows.select(*ROW, "text"), min_words=min_words)).select(*columns, "ranges")
 
     def run(batches):
         for batch in batches:
@@ -159,4 +181,4 @@ def drop_repeats(docs: DataFrame, *, min_words: int = 35, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(stay))
 
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, docs.schema.fields, strict=True))
-    return met.mapInArrow(run, schema).toDF(*names).unionByName(docs.where(F.col(id_col).isNull()))
+    return met.mapInArrow(run, schema).toDF(*names)

@@ -4,20 +4,21 @@ Texts are UTF-8 bytes.  A byte goes if a string of ``min_bytes`` bytes that
 covers it also starts earlier: in a document of smaller id, or earlier in the
 same document.  Strings are judged on the input.
 
-The candidate suffixes (see ``repeats``; each partition holds all suffixes of
-its anchors) arrive in document order and are indexed by the logarithmic
-method.  Each new batch gets a suffix array of its own: its suffixes sorted by
-their first byte and then by the fingerprint of their first ``min_bytes``
-bytes, which is all of the order that matters for matches that long.  The
-array is merge-scanned against every existing level; suffixes that match, in a
-level or earlier in the batch, are repeats.  What is new forms a level, and
-levels of like size merge, so a partition of n suffixes keeps O(log n) levels
-and each suffix is merged O(log n) times.  A level holds eight bytes a
-distinct suffix, whatever its number of copies.
-
-Defined results: null and empty texts have no bytes; rows that share an id
-share their ranges (the second row repeats the first); rows without an id are
-left out; an empty table gives an empty result; extra columns are ignored.
+The candidate suffixes (see ``repeats``; a bucket holds all suffixes of its
+anchors) arrive in document order and are indexed by the logarithmic method.
+Each new batch gets a suffix array: the places of its suffixes in the
+lexicographic order of their first ``min_bytes`` bytes, which is all of the
+order that matters for matches that long.  The array is merge-scanned against
+every existing level; suffixes that match in all these bytes, in a level or
+earlier in the batch, are repeats.  What is new forms a level, and levels of
+like size merge, so a bucket of n suffixes keeps O(log n) levels and each
+suffix is merged O(log n) times.  Equality is always that of the bytes.
+
+Defined results: null and empty texts have no bytes; rows that share an id but
+not a text are documents of their own, in the order of a hash of the text;
+rows equal in id and text count as one document and get the same result; rows
+without an id come last and keep the null; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,73 +28,116 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
-from .repeats import context_blocks, range_lists, repeated_ranges, with_ranges
+from .repeats import ROW, buckets, context_blocks, identified, named, range_lists, repeated_ranges, shapes, with_ranges
+
+#: Bytes of contexts in a bucket and of sorted suffixes in a batch, at windows of 100 bytes.
+BUCKET_BYTES, BATCH_BYTES = 2 << 20, 32 << 20
+
+
+class SuffixArray:
+    """Suffixes in lexicographic order of their first ``width`` bytes.
+
+    ``heads`` are these bytes, ascending and distinct; ``places`` say where
+    (in the order of arrival) each suffix starts first.
+    """
+
+    def __init__(self, heads: np.ndarray, places: np.ndarray):
+        self.heads, self.places = heads, places
+
+    @classmethod
+    def build(cls, heads: np.ndarray, places: np.ndarray) -> tuple[SuffixArray, np.ndarray]:
+        """The array of a batch in document order, and for each suffix its index in it."""
+        order = np.argsort(heads, kind="stable")  # equal suffixes stay in document order
+        ranked = heads[order]
+        first = np.ones(len(heads), bool)
+        first[1:] = ranked[1:] != ranked[:-1]
+        index = np.empty(len(heads), np.int64)
+        index[order] = np.cumsum(first) - 1
+        return cls(ranked[first], places[order[first]]), index
+
+    def __len__(self):
+        return len(self.heads)
+
+    def scan(self, other: SuffixArray) -> np.ndarray:
+        """Mask over ``other``'s suffixes: this array holds them.  Both are sorted, so the search walks forward."""
+        at = np.minimum(np.searchsorted(self.heads, other.heads), len(self) - 1)
+        return self.heads[at] == other.heads
+
+    def part(self, mask: np.ndarray) -> SuffixArray:
+        return SuffixArray(self.heads[mask], self.places[mask])
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        heads, places = np.concatenate([self.heads, other.heads]), np.concatenate([self.places, other.places])
+        order = np.argsort(heads, kind="stable")  # merges two sorted runs
+        return SuffixArray(heads[order], places[order])
 
 
 class IndexFamily:
-    """Levels of sorted suffix keys; level sizes fall geometrically."""
+    """Levels of suffix arrays over different suffixes; level sizes fall geometrically."""
 
     def __init__(self):
-        self.levels: list[np.ndarray] = []
+        self.levels: list[SuffixArray] = []
+        self.seen = 0
 
-    def add(self, keys: np.ndarray) -> np.ndarray:
+    def add(self, heads: np.ndarray) -> np.ndarray:
         """Indexes a batch in document order; mask of the suffixes that start earlier."""
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        first = np.ones(len(keys), bool)
-        first[1:] = ranked[1:] != ranked[:-1]
-        heads = ranked[first]
-        known = np.zeros(len(heads), bool)
-        for level in self.levels:  # both sides are sorted: the search walks forward
-            at = np.minimum(np.searchsorted(level, heads), len(level) - 1)
-            known |= level[at] == heads
-        self._insert(heads[~known])
-        repeat = ~first
-        repeat[np.flatnonzero(first)] = known
-        out = np.empty(len(keys), bool)
-        out[order] = repeat
-        return out
-
-    def _insert(self, level: np.ndarray) -> None:
+        if not len(heads):
+            return np.zeros(0, bool)
+        batch, index = SuffixArray.build(heads, self.seen + np.arange(len(heads)))
+        known = np.zeros(len(batch), bool)
+        for level in self.levels:
+            known |= level.scan(batch)
+        repeat = np.ones(len(heads), bool)
+        repeat[batch.places[~known] - self.seen] = False
+        self.seen += len(heads)
+        self._insert(batch.part(~known))
+        return repeat
+
+    def _insert(self, level: SuffixArray) -> None:
         while self.levels and len(self.levels[-1]) <= 2 * len(level):
-            level = np.sort(np.concatenate([self.levels.pop(), level]), kind="stable")  # merges two sorted runs
+            level = self.levels.pop().merged(level)
         if len(level):
             self.levels.append(level)
 
 
-def family_index(width: int):
-    family = IndexFamily()
-
-    def mark(part: pa.RecordBatch):
-        buf, off = context_blocks(part)
-        begin = K.inside_windows(off, width)
-        window_off = np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - width + 1, 0))])
-        if not len(begin):
-            return np.zeros(0, bool), window_off
-        prints = K.span_hashes(K.prefix_sums(buf), begin, begin + width)
-        keys = (buf[begin].astype(np.uint64) << np.uint64(56)) | (prints >> np.uint64(8))
-        return family.add(keys), window_off
+def heads_of(buf: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` bytes at each place, as strings that sort by bytes."""
+    if not len(begin):
+        return np.zeros(0, f"S{width}")
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(buf, width)[begin]).view(f"S{width}").ravel()
 
-    return mark
 
-
-def repeated_bytes(docs: DataFrame, *, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, s, e): stretches of bytes inside strings of ``min_bytes`` that start earlier."""
+def family_index(batches, width: int, gram: int):
+    family = IndexFamily()
+    for new, part in buckets(batches):
+        if new:
+            family = IndexFamily()
+        _, n, _ = shapes(part)
+        step = np.cumsum(n) * width // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), part.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            piece = part.slice(a, b - a)
+            buf, off = context_blocks(piece)
+            yield piece, family.add(heads_of(buf, K.inside_windows(off, width), width))
+
+
+def repeated_bytes(rows: DataFrame, *, min_bytes: int = 100) -> DataFrame:
+    """(row names, s, e): stretches of bytes inside strings of ``min_bytes`` that start earlier, of identified rows."""
     if min_bytes < 16:
         raise ValueError("min_bytes must be at least 16")
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     gram = max(8, min(20, min_bytes // 4))
-    return repeated_ranges(rows, width=min_bytes, gram=gram, words=False, earlier_only=True, index=family_index, order=["id", "lo"], by_key=False)
+    size = max(1, BUCKET_BYTES * 100 // max(100, min_bytes))
+    return repeated_ranges(rows, width=min_bytes, gram=gram, words=False, earlier_only=True, index=family_index, order=(*ROW, "at"), bucket_bytes=size)
 
 
 def digest(docs: DataFrame, *, min_bytes: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) after removing every repeated byte."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = identified(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    met = with_ranges(rows, repeated_bytes(docs, min_bytes=min_bytes, id_col=id_col, text_col=text_col))
+    met = with_ranges(rows, repeated_bytes(rows, min_bytes=min_bytes))
+    met = met.select(named(met), "text", "ranges")
 
     def run(batches):
         for batch in batches:

@@ -1,6 +1,7 @@
 """The exact operators against brute force."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -55,41 +56,117 @@ def brute_fingerprint(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_substring_dedup_matches_brute_force(spark, corpus, tables, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in Q.op8_substring_dedup(spark, tables(documents=corpus)).collect()}
-    assert got == brute_words(texts_of(corpus), 35)
+#: Bytes of a group that a task takes: production, and so few that prefixes grow up to whole windows.
+HOT = [repeats.KEY_BYTES, 300]
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_suffix_dedup_matches_brute_force(spark, corpus, tables, monkeypatch, hot):
-    monkeypatch.setattr(repeats, "HOT_RUNS", hot)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in Q.op6_suffix_array_dedup(spark, tables(documents=corpus)).collect()}
-    assert got == brute_bytes(texts_of(corpus), 100)
+@pytest.fixture(scope="module")
+def boilerplate(spark, corpus):
+    """The corpus and texts that share short phrases in ever new surroundings, so that groups outgrow a small task."""
+    rng = random.Random(6)
+    phrase = [f"common{i}" for i in range(14)]
+    half = [f"tail{i}" for i in range(40)]
+    rows = [(100 + i, f"a{i} " + " ".join(phrase + half[: 22 + i % 5]) + f"  b{rng.randrange(9)}\n" + " ".join(f"x{rng.randrange(3)}" for _ in range(60)), "en", "s", 0) for i in range(40)]
+    return corpus.unionByName(spark.createDataFrame(rows, corpus.schema))
+
+
+@pytest.mark.parametrize("hot", HOT)
+def test_substring_dedup_matches_brute_force(spark, boilerplate, tables, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "KEY_BYTES", hot)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in Q.op8_substring_dedup(spark, tables(documents=boilerplate)).collect()}
+    assert got == brute_words(texts_of(boilerplate), 35)
+
 
+@pytest.mark.parametrize("hot", HOT)
+def test_suffix_dedup_matches_brute_force(spark, boilerplate, tables, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "KEY_BYTES", hot)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in Q.op6_suffix_array_dedup(spark, tables(documents=boilerplate)).collect()}
+    assert got == brute_bytes(texts_of(boilerplate), 100)
 
-def test_small_chunks_and_batches_change_nothing(corpus, monkeypatch):
-    monkeypatch.setattr(repeats, "CHUNK_BYTES", 300)
+
+def test_small_batches_and_buckets_change_nothing(corpus, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 400)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 400)
     got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(corpus).collect()}
     assert got == brute_words(texts_of(corpus), 35)
     got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(corpus).collect()}
     assert got == brute_bytes(texts_of(corpus), 100)
 
 
-def test_index_family_merges_geometrically():
+def test_other_widths(corpus):
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(corpus, min_words=12).collect()}
+    assert got == brute_words(texts_of(corpus), 12)
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(corpus, min_bytes=17).collect()}
+    assert got == brute_bytes(texts_of(corpus), 17)
+
+
+def test_rows_that_share_an_id(spark):
+    """Equal rows, one id with two texts, no id at all, and names that clash with the operators' own."""
+    rng = random.Random(1)
+    t, u, v = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "tuv")
+    rows = [(1, t), (1, t), (1, u), (2, t), (None, v), (None, v), (None, u + " tail"), (3, None)]
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "doc_id bigint, text string, id int, row int, key string")
+    cut = sorted((r["id"] if r["id"] is not None else 9, r["n_words"], r["n_removed"]) for r in substring_dedup.digest(docs).collect())
+    assert cut == [(1, 60, 60), (1, 60, 60), (1, 60, 60), (2, 60, 60), (3, 0, 0), (9, 60, 60), (9, 60, 60), (9, 61, 60)]
+    cut = sorted((r["id"] if r["id"] is not None else 9, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digest(docs).collect())
+    nt, nu, nv = len(t), len(u), len(v)
+    assert cut == sorted([(1, nt, 0), (1, nt, 0), (1, nu, 0), (2, nt, nt), (3, 0, 0), (9, nv, 0), (9, nv, 0), (9, nu + 5, nu)])
+    left = substring_dedup.digest(spark.createDataFrame([(1, t), (1, u), (2, t)], "doc_id bigint, text string")).collect()
+    assert sorted((r["id"], r["n_removed"]) for r in left) == [(1, 0), (1, 60), (2, 60)]
+    kept = substring_dedup.drop_repeats(docs)
+    assert kept.columns == docs.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == {(None, "tail"), (3, None)}
+
+
+def test_very_long_words_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "KEY_BYTES", 5000)
+    words = [f"{i:03d}" + "y" * 3000 for i in range(45)]
+    long = " ".join(f"n{i}" for i in range(40_000))
+    texts = {1: " ".join(words), 2: "a " + "  ".join(words[3:]), 3: "b " + "\n".join(words[5:]), 4: long, 5: "lead " + long[100:]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(docs).collect()}
+    assert got == brute_words(texts, 35)
+    got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(docs).collect()}
+    assert got == brute_bytes(texts, 100)
+
+
+def test_text_ids(spark):
+    p = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([("b", p), ("a", p), (None, p)], "doc_id string, text string")
+    assert {r["id"]: r["n_removed"] for r in suffix_dedup.digest(docs).collect()} == {"a": 0, "b": len(p), None: len(p)}
+    assert {r["id"]: r["n_removed"] for r in substring_dedup.digest(docs).collect()} == {"a": 40, "b": 40, None: 40}
+
+
+def test_index_family_is_of_sorted_arrays_that_merge_geometrically():
     import numpy as np
 
     family, rng, seen = suffix_dedup.IndexFamily(), np.random.default_rng(0), set()
     for _ in range(40):
-        keys = rng.integers(0, 3000, 64).astype(np.uint64)
+        buf = rng.integers(97, 99, 80).astype(np.uint8)
+        heads = suffix_dedup.heads_of(buf, np.arange(64), 16)
         want = []
-        for k in keys.tolist():
+        for k in heads.tolist():
             want.append(k in seen)
             seen.add(k)
-        assert family.add(keys).tolist() == want
+        assert family.add(heads).tolist() == want
     sizes = [len(x) for x in family.levels]
     assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+    for level in family.levels:
+        assert level.heads.tolist() == sorted(set(level.heads.tolist())) and len(set(level.places.tolist())) == len(level)
+
+
+def test_zero_bytes_are_told_apart():
+    import numpy as np
+
+    buf = np.frombuffer(b"ab\0\0ab\0\0\0b", np.uint8)
+    assert suffix_dedup.IndexFamily().add(suffix_dedup.heads_of(buf, np.arange(8), 3)).tolist() == [False, False, False, False, True, True, False, False]
+
+
+def test_suffix_trees_number_their_nodes():
+    import numpy as np
+
+    tree = substring_dedup.SuffixTree(np.array([[1, 2, 3], [1, 2, 4], [0, 2, 3], [1, 2, 3]]))
+    assert len(set(tree.nodes(2).tolist())) == 2 and tree.nodes(3)[0] == tree.nodes(3)[3] != tree.nodes(3)[1]
 
 
 def test_drop_repeats_keeps_columns_and_spacing(spark):
@@ -156,7 +233,7 @@ def test_empty_tables_and_missing_ids(spark, empty_docs):
     assert substring_dedup.digest(empty_docs).isEmpty() and suffix_dedup.digest(empty_docs).isEmpty() and simhash.near_duplicates(empty_docs).isEmpty()
     odd = spark.createDataFrame([(None, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "z")], "doc_id bigint, text string, id string").withColumn("key", F.lit(1)).withColumn("component", F.lit(2))
     assert [r["component"] for r in simhash.near_duplicates(odd).collect()] == [1]
-    assert substring_dedup.digest(odd).count() == 2 and suffix_dedup.digest(odd).count() == 2
+    assert substring_dedup.digest(odd).count() == 3 and suffix_dedup.digest(odd).count() == 3
 
 
 def test_near_copies_match_brute_force(spark, monkeypatch):
