@@ -3,21 +3,26 @@
 Every document gets a few cheap measurements.  A *rule* rejects a document
 whose measurement reaches a cutoff; cutoffs are not fixed by hand but selected
 per stratum (bands of document length) from labelled documents so that, with
-probability at least ``1 - delta`` over the holdout, no rule in any stratum
-rejects more than ``risk`` of the good documents:
+probability at least ``1 - delta`` over the holdout, in no stratum the chosen
+rules *together* reject more than ``risk`` of the good documents:
 
 * labelled rows split into a tuning and a holdout half by a hash of the id;
-* per stratum and rule, cutoffs run from the most lenient to the strictest of
-  a fixed grid; each is tested on the holdout with the exact (Clopper-Pearson)
-  upper bound of its false-rejection rate, and the walk stops at the first
-  failure (fixed-sequence testing keeps the chain's own error);
-* the chains share ``delta`` by Bonferroni over strata times rules;
-* among the certified cutoffs the tuning half picks the one with the best
-  balance of bad documents caught and good ones lost; a chain in which nothing
-  is certified, or nothing is gained, abstains.
-
-Only counts per (stratum, rule, grid step, label, half) reach the driver, a
-number that does not grow with the data.
+* in each stratum the tuning half lays out a path of rule sets, from lenient
+  to strict: first the rules one by one at cutoffs that cost no good tuning
+  document, best first, then all of them at ever lower cutoffs.  Each point
+  rejects all that the one before it does;
+* along the path, the union of the rules is tested on the holdout with the
+  exact (Clopper-Pearson) upper bound of its false-rejection rate, and the
+  walk stops at the first failure (fixed-sequence testing keeps the path's own
+  error);
+* the strata share ``delta`` by Bonferroni;
+* among the certified points the tuning half picks the one with the best
+  balance of bad documents caught and good ones lost; a stratum in which
+  nothing is certified, or nothing is gained, abstains.
+
+Only counts per (stratum, rule, grid step, label) and per (stratum, point of
+the path, label, half) reach the driver, numbers that do not grow with the
+data.
 
 Defined results: a null or empty text has zero words, measures zero, and fails
 the base rule; labels without a document, or with null quality, are ignored; a
@@ -156,58 +161,96 @@ def upper_bound(failures: int, n: int, level: float) -> float:
 
 
 @dataclass(frozen=True)
-class Cutoff:
+class Cutoffs:
+    """The rules of a stratum: a document goes if a rule's grid step reaches the rule's own."""
+
     stratum: int
-    rule: str
-    step: int  # rejected where the grid step reaches this
+    steps: dict[str, int]
     holdout_good: int
     holdout_rejected: int
     bound: float
 
 
-def choose_cutoffs(counts: dict[tuple[int, str], np.ndarray], *, risk: float, delta: float, price: float) -> list[Cutoff]:
-    """counts: (stratum, rule) to an array [half, good, step]; half 0 tunes, half 1 certifies."""
-    level = delta / max(1, len(counts))
-    chosen = []
-    for (band, rule), c in sorted(counts.items()):
-        from_top = c[..., ::-1].cumsum(axis=-1)[..., ::-1]  # documents rejected at each step
-        n = int(c[1, 1].sum())
-        certified, was = [], -1
-        for step in range(GRID, 0, -1):
-            failures = int(from_top[1, 1, step])
-            if failures != was:
-                bound, was = upper_bound(failures, n, level), failures
-            if bound > risk:
-                break
-            certified.append((from_top[0, 0, step] - price * from_top[0, 1, step], step, failures, bound))
-        if certified:
-            gain, step, failures, bound = max(certified, key=lambda x: (x[0], x[1]))
-            if gain > 0:
-                chosen.append(Cutoff(band, rule, step, n, failures, bound))
-    return chosen
-
-
-def fit_cutoffs(labelled: DataFrame, *, risk: float = 0.05, delta: float = 0.05, price: float = 10.0) -> list[Cutoff]:
+LEVELS = 32  # cutoffs of a path that differ in the good documents they may cost
+
+
+def cutoff_path(counts: dict[str, np.ndarray], *, risk: float, price: float) -> list[dict[str, int]]:
+    """Rule sets from lenient to strict; ``counts`` has the tuning documents by [good, step] for every rule."""
+    curves = {}
+    for rule, c in sorted(counts.items()):
+        bad, good = c[:, ::-1].cumsum(axis=1)[:, ::-1]  # documents rejected at each step
+        curves[rule] = (bad - price * good, good / max(1, good[0]))
+
+    def best(rule: str, loss: float) -> int:
+        gain, lost = curves[rule]
+        allowed = [k for k in range(1, GRID + 1) if lost[k] <= loss]
+        return max(allowed, key=lambda k: (gain[k], k), default=GRID + 1)
+
+    free = {r: best(r, 0.0) for r in curves}
+    ranked = sorted((r for r, k in free.items() if k <= GRID and curves[r][0][k] > 0), key=lambda r: (-curves[r][0][free[r]], r))
+    path = [{r: free[r] for r in ranked[: i + 1]} for i in range(len(ranked))]
+    for level in range(1, LEVELS + 1):
+        steps = {r: best(r, risk * level / LEVELS) for r in curves}
+        path.append({r: k for r, k in steps.items() if k <= GRID and curves[r][0][k] > 0})
+    return [p for i, p in enumerate(path) if p and p not in path[:i]]
+
+
+def first_points(path: list[dict[str, int]], rule: str) -> list[int]:
+    """For every grid step of the rule, the first point of the path at which the rule rejects it."""
+    return [next((i for i, p in enumerate(path) if p.get(rule, GRID + 1) <= step), len(path)) for step in range(GRID + 1)]
+
+
+def certify(band: int, path: list[dict[str, int]], counts: np.ndarray, *, risk: float, level: float, price: float) -> Cutoffs | None:
+    """The best certified point; ``counts`` has the documents by [half, good, first point that rejects them], half 0 tunes."""
+    upto = counts.cumsum(axis=-1)
+    n = int(counts[1, 1].sum())
+    certified = []
+    for i, steps in enumerate(path):
+        failures = int(upto[1, 1, i])
+        bound = upper_bound(failures, n, level)
+        if bound > risk:
+            break
+        certified.append((upto[0, 0, i] - price * upto[0, 1, i], -i, Cutoffs(band, steps, n, failures, bound)))
+    if not certified:
+        return None
+    gain, _, found = max(certified, key=lambda x: x[:2])
+    return found if gain > 0 else None
+
+
+def fit_cutoffs(labelled: DataFrame, *, risk: float = 0.05, delta: float = 0.05, price: float = 10.0) -> list[Cutoffs]:
     """Cutoffs from measured rows with ``quality`` (1 good, 0 bad)."""
-    steps = F.array(*(F.struct(F.lit(k).alias("rule"), grid_step(v).alias("step")) for k, v in rules().items()))
-    rows = labelled.where("quality in (0, 1) and not base_failed").select(
-        stratum().alias("band"), "quality", F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"), F.explode(steps).alias("r")
-    )
-    counts: dict[tuple[int, str], np.ndarray] = {}
-    for x in rows.groupBy("band", "quality", "half", "r.rule", "r.step").count().collect():
-        at = counts.setdefault((x["band"], x["rule"]), np.zeros((2, 2, GRID + 1), np.int64))
-        at[x["half"], x["quality"], x["step"]] += x["count"]
-    return choose_cutoffs(counts, risk=risk, delta=delta, price=price)
-
-
-def rejected(cutoffs: list[Cutoff]) -> Column:
+    half = F.pmod(F.xxhash64("id"), F.lit(2)).alias("half")
+    usable = labelled.where("quality in (0, 1) and not base_failed")
+    steps = usable.select(stratum().alias("band"), F.col("quality").cast("int").alias("quality"), half, *(grid_step(v).alias(k) for k, v in rules().items()))
+    each = F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("step")) for k in rules()))
+    tuning: dict[int, dict[str, np.ndarray]] = {}
+    for x in steps.where("half = 0").select("band", "quality", F.explode(each).alias("r")).groupBy("band", "quality", "r.rule", "r.step").count().collect():
+        tuning.setdefault(x["band"], {}).setdefault(x["rule"], np.zeros((2, GRID + 1), np.int64))[x["quality"], x["step"]] += x["count"]
+    paths = {band: cutoff_path(counts, risk=risk, price=price) for band, counts in tuning.items()}
+    paths = {band: path for band, path in paths.items() if path}
+    if not paths:
+        return []
+    point = F.lit(None).cast("int")
+    for band, path in sorted(paths.items()):
+        reached = [F.element_at(F.array(*(F.lit(i) for i in first_points(path, k))), F.col(k) + 1) for k in rules()]
+        point = F.when(F.col("band") == band, F.least(*reached)).otherwise(point)
+    found = {band: np.zeros((2, 2, len(path) + 1), np.int64) for band, path in paths.items()}
+    for x in steps.select("band", "half", "quality", point.alias("point")).where("point is not null").groupBy("band", "half", "quality", "point").count().collect():
+        found[x["band"]][x["half"], x["quality"], x["point"]] += x["count"]
+    level = delta / (len(BANDS) + 1)
+    chosen = [certify(band, paths[band], found[band], risk=risk, level=level, price=price) for band in sorted(paths)]
+    return [c for c in chosen if c is not None]
+
+
+def rejected(cutoffs: list[Cutoffs]) -> Column:
     measures, out = rules(), F.lit(False)
     for c in cutoffs:
-        out = out | ((stratum() == c.stratum) & (grid_step(measures[c.rule]) >= c.step))
+        for rule, step in sorted(c.steps.items()):
+            out = out | ((stratum() == c.stratum) & (grid_step(measures[rule]) >= step))
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> tuple[DataFrame, list[Cutoff]]:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> tuple[DataFrame, list[Cutoffs]]:
     """Measurements of every document (written once, texts left out) and the cutoffs.
 
     ``labels`` has the id and ``quality``.

@@ -72,13 +72,52 @@ def test_upper_bound_is_exact(k, n, level):
         assert sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) == pytest.approx(level, rel=1e-6)
 
 
-def test_chain_stops_at_the_first_failure():
+def test_paths_are_nested_and_stop_at_the_first_failure():
     import numpy as np
 
-    c = np.zeros((2, 2, quality_rules.GRID + 1), int)
-    c[0, 0, 20], c[0, 1, 2], c[1, 1, 2], c[1, 1, 10] = 50, 400, 390, 60
-    got = quality_rules.choose_cutoffs({(0, "r"): c}, risk=0.05, delta=0.05, price=10)
-    assert [(x.step, x.holdout_rejected) for x in got] == [(20, 0)]
+    G = quality_rules.GRID
+    counts = {"a": np.zeros((2, G + 1), int), "b": np.zeros((2, G + 1), int)}
+    counts["a"][0, 20], counts["a"][1, 2] = 50, 400
+    counts["b"][0, 10], counts["b"][0, 2], counts["b"][1, 2], counts["b"][1, 11] = 30, 20, 395, 5
+    path = quality_rules.cutoff_path(counts, risk=0.05, price=0.5)
+    assert path[0] == {"a": 20} and path[-1] == {"a": 20, "b": 10}
+    for x, y in zip(path, path[1:], strict=False):
+        assert all(y.get(r, G + 1) <= k for r, k in x.items())
+    assert quality_rules.first_points(path, "b")[9:11] == [len(path), len(path) - 1]
+    found = np.zeros((2, 2, len(path) + 1), int)
+    found[:, 0, 0], found[:, 1, -1], found[0, 0, -2], found[1, 1, -2] = 50, 380, 30, 30
+    got = quality_rules.certify(0, path, found, risk=0.05, level=0.02, price=0.5)
+    assert got.steps == {"a": 20} and (got.holdout_good, got.holdout_rejected) == (410, 0)
+    assert quality_rules.certify(0, path, found // 10, risk=0.05, level=0.02, price=0.5) is None
+
+
+def test_the_rules_of_a_stratum_together_keep_the_risk():
+    """Over many holdouts of a known distribution, the union's true false-rejection rate exceeds the risk as rarely as promised."""
+    import numpy as np
+
+    G, R, risk, level = quality_rules.GRID, 8, 0.05, 0.05
+    rng = np.random.default_rng(3)
+
+    def draw(n, good):
+        noise = rng.exponential(4.0, (n, R)) if good else rng.exponential(9.0, (n, R))
+        return np.minimum(noise.astype(int), G)
+
+    everyone = draw(200_000, True)
+    broken = used = 0
+    for _ in range(150):
+        sample = [[draw(400, good) for good in (False, True)] for _ in range(2)]
+        marginal = {f"r{k}": np.stack([np.bincount(sample[0][g][:, k], minlength=G + 1) for g in (0, 1)]) for k in range(R)}
+        path = quality_rules.cutoff_path(marginal, risk=risk, price=1.0)
+        points = {f"r{k}": np.array(quality_rules.first_points(path, f"r{k}")) for k in range(R)}
+        counts = np.array([[np.bincount(np.min([points[f"r{k}"][rows[:, k]] for k in range(R)], axis=0), minlength=len(path) + 1) for rows in half] for half in sample])
+        got = quality_rules.certify(0, path, counts, risk=risk, level=level, price=1.0)
+        if got is not None:
+            used += 1
+            lost = np.zeros(len(everyone), bool)
+            for rule, step in got.steps.items():
+                lost |= everyone[:, int(rule[1:])] >= step
+            broken += lost.mean() > risk
+    assert used > 50 and broken <= 0.05 * 150 + 4
 
 
 LANGS = {"aa": "lorem dolor amet sitor", "bb": "szcz krzy wodz przy", "cc": "heit ung schaft zeich"}
