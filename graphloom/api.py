@@ -59,6 +59,7 @@ class Repository:
         return tuple(r["path"] for r in rows)
 
     def get_repo_overview(self) -> dict:
+        """Totals, languages, modules, entry points, skipped files by reason and the spread of edge confidence; read from the index alone."""
         a = self.at
         named = lambda df, k, v: {r[k]: r[v] for r in df.collect()}
         result = {
@@ -74,6 +75,7 @@ class Repository:
         return self.envelope(result)
 
     def search_code(self, query: str, kind: str | None = None, lang: str | None = None, path: str | None = None, limit: int = 50) -> dict:
+        """Places of symbols and text lines that match, exact symbol names first; a symbol kind leaves text out."""
         S.within("limit", limit, S.LIMIT)
         found = repository.discover(self.spark, self.root).where("skip_reason is null").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         texts = found.join(self.at.files.select("path", "lang"), "path")
@@ -84,6 +86,7 @@ class Repository:
         return self.envelope({"hits": rows}, {"returned": len(rows), "total": total} if total > len(rows) else None)
 
     def get_symbol(self, name: str, file: str | None = None, limit: int = 50) -> dict:
+        """Definition, signature, export status and numbers of callers and callees of every symbol of a name."""
         S.within("limit", limit, S.LIMIT)
         found = search.find_symbols(self.hits, limit, name=name, path_prefix=file)
         rows = [r.asDict() for r in search.callers_and_callees(found, self.edges).orderBy("path", "start_line").collect()]
@@ -91,6 +94,7 @@ class Repository:
         return self.envelope({"matches": rows, "totalMatches": total}, {"returned": len(rows), "total": total} if total > len(rows) else None)
 
     def describe_module(self, path: str, limit: int = 50) -> dict:
+        """Files, public surface, dependencies, dependents and coupling of the files directly inside a directory."""
         S.within("limit", limit, S.LIMIT)
         target = path.removesuffix("/")
         files = self.at.files.withColumn("module", module_of("path"))
@@ -120,6 +124,7 @@ class Repository:
         return {"kind": "unknown", "resolved": target}
 
     def get_dependencies(self, target: str, direction: str = "out", depth: int = 2, kind: str | None = None, min_confidence: str | None = None, limit: int = 50) -> dict:
+        """What a file, directory or symbol depends on, or what depends on it, hop by hop; kind and confidence hold for symbols."""
         S.within("limit", limit, S.LIMIT)
         S.within("depth", depth, S.DEPTH)
         if direction not in ("in", "out"):
@@ -144,6 +149,7 @@ class Repository:
         return self.envelope(base | {"nodes": nodes, "depthLimited": limited}, cut)
 
     def impact_of(self, symbol: str, file: str | None = None, max_depth: int = 3, limit: int = 50) -> dict:
+        """Who refers to a symbol over several hops, bucketed by how sure the references are."""
         S.within("limit", limit, S.LIMIT)
         S.within("max_depth", max_depth, S.DEPTH)
         matches = self.hits.where(search.symbol_filter(name=symbol, path_prefix=file))
@@ -168,6 +174,7 @@ class Repository:
         return self.envelope(result, cut)
 
     def trace_flow(self, entry: str, file: str | None = None, max_depth: int = 4, limit: int = 50) -> dict:
+        """The tree of calls from a symbol; tells symbols expanded elsewhere and where depth or budget cut it."""
         S.within("limit", limit, S.LIMIT)
         S.within("max_depth", max_depth, S.DEPTH)
         details = calls.edge_details(self.edges, self.at.files, self.at.symbols)
@@ -182,6 +189,7 @@ class Repository:
         return self.envelope({"entry": entry, "root": nodes[0], "totalNodes": len(nodes), "depthLimited": tree.depth_limited, "limitReached": tree.limit_reached})
 
     def find_cycles(self, scope: str = "module", min_size: int = 2, limit: int = 50) -> dict:
+        """Circular dependencies between directories or files, the largest first; a module cycle without a cycle of files is marked as an artifact."""
         S.within("limit", limit, S.LIMIT)
         S.within("min_size", min_size, S.MIN_SIZE)
         if scope not in ("module", "file"):
@@ -202,6 +210,7 @@ class Repository:
         return self.envelope({"scope": scope, "cycles": rows, "totalCycles": cut["total"] if cut else len(rows)}, cut)
 
     def get_coupling(self, limit: int = 50) -> dict:
+        """Afferent and efferent coupling and instability of every module, and the heaviest dependencies between modules."""
         S.within("limit", limit, S.LIMIT)
         modules = structure.module_edges(self._pairs())
         rows, cut = capped(structure.coupling(self.at.files, modules).orderBy(F.desc(F.col("ca") + F.col("ce")), "module"), limit)
@@ -209,6 +218,7 @@ class Repository:
         return self.envelope({"modules": rows, "heaviestPairs": heavy}, {k: v for k, v in (("modules", cut), ("heaviestPairs", cut_pairs)) if v} or None)
 
     def find_hotspots(self, limit: int = 50, window_days: int = 180) -> dict:
+        """Files by complexity times churn with every raw signal, and files that change together without a dependency."""
         S.within("limit", limit, S.LIMIT)
         S.within("window_days", window_days, S.WINDOW_DAYS)
         a, links = self.at, self._links(True)

@@ -41,7 +41,7 @@ _GO = Language(
     declarations=(
         ("method", r"(?m)^func\s*\(\s*(?:\w+\s+)?\*?\s*(?P<owner>\w+)[^)]*\)\s*(?P<name>\w+)"),
         ("function", r"(?m)^func\s+(?P<name>\w+)"),
-        ("type", r"(?m)^type\s+(?P<name>\w+)\s"),
+        ("type", r"(?m)^[ \t]*type\s+(?P<name>\w+)(?=[\s\[])(?!\s*=)"),  # not an alias
     ),
     containers=(),
     words=_GO_WORDS,
@@ -71,8 +71,8 @@ _RUST = Language(
 LANGUAGES = {"typescript": _JS, "tsx": _JS, "javascript": _JS, "jsx": _JS, "go": _GO, "java": _JAVA, "rust": _RUST}
 
 
-def _body(masked: str, at: int, match: dict[int, int]) -> tuple[int, int]:
-    """(start of the body, end of the declaration) from the end of its name."""
+def _body(masked: str, at: int, match: dict[int, int], by_line: bool = False) -> tuple[int, int]:
+    """(start of the body, end of the declaration) from the end of its name; by_line: a line's end ends it too."""
     depth = 0
     for m in re.finditer(r"[(){};\n\[\]]", masked[at:]):
         c, pos = m.group(), at + m.start()
@@ -82,11 +82,25 @@ def _body(masked: str, at: int, match: dict[int, int]) -> tuple[int, int]:
             depth -= 1
         elif depth <= 0 and c == "{":
             return pos, match.get(pos, len(masked) - 1)
-        elif depth <= 0 and c in ";}":
+        elif depth <= 0 and (c in ";}" or by_line and c == "\n"):
             return pos, pos
     return len(masked), len(masked) - 1
 
 
+def _type_groups(masked: str, match: dict[int, int]):
+    """(start, end, name start, name) of each type in a ``type ( ... )`` group; they share the group's extent."""
+    member = re.compile(r"(?m)[(\[{]|^[ \t]*(?P<name>\w+)(?=[ \t\[])(?![ \t]*=)")
+    for group in re.finditer(r"(?m)^[ \t]*(?P<type>type)\s*\(", masked):
+        opening = group.end() - 1
+        end, at = match.get(opening, len(masked) - 1), opening + 1
+        while (m := member.search(masked, at, end)) is not None:
+            if m.group("name") is None:
+                at = match.get(m.start(), end) + 1  # what lies in brackets is no member
+            else:
+                yield group.start("type"), end, m.start("name"), m.group("name")
+                at = m.end()
+
+
 def _imports(source: str, masked: str, lang: str, lines: Lines) -> list[dict]:
     found = []
 
@@ -143,14 +157,16 @@ def extract(source: str, lang: str) -> dict:
             if m.start("name") in taken or name in spec.words or (kind == "method" and lang == "java" and re.match(r"\s*(?:return|new|else|throw)\b", m.group())):
                 continue
             taken.add(m.start("name"))
-            body, end = _body(masked, m.end("name"), match)
+            body, end = _body(masked, m.end("name"), match, lang == "go" and kind == "type")
             start = m.start() + len(m.group()) - len(m.group().lstrip())
             groups = m.groupdict()
-            raw.append((start, body, end, kind, name, groups.get("owner"), groups.get("trait"), m.start("name")))
+            raw.append((start, body, end, kind, name, groups.get("owner"), groups.get("trait"), m.start("name"), False))
+    if lang == "go":
+        raw += [(start, _body(masked, at + len(name), match, True)[0], end, "type", name, None, None, at, True) for start, end, at, name in _type_groups(masked, match)]
     raw.sort(key=lambda r: (r[0], -r[2]))
     symbols, functions, stack = [], [], []
     bare = [(start, end) for start, _, end, kind, *_ in raw if kind == "interface" and lang != "rust"]  # member lists, not calls
-    for start, body, end, kind, name, owner_name, trait, at in raw:
+    for start, body, end, kind, name, owner_name, trait, at, grouped in raw:
         while stack and stack[-1][1] < start:
             stack.pop()
         owner = stack[-1][2] if stack else None
@@ -164,7 +180,7 @@ def extract(source: str, lang: str) -> dict:
         if kind == "impl":
             continue
         parent = owner_name or (owner[1] if owner is not None and owner[0] in ("class", "interface", "impl", "enum") else None)
-        symbols.append({"name": name, "kind": out_kind, "start_line": lines.of(start), "end_line": lines.of(end), "exported": exported and not (inside_function and lang not in ("go",)), "signature": source[start:body].strip()[:300] or None, "parent_name": parent})
+        symbols.append({"name": name, "kind": out_kind, "start_line": lines.of(start), "end_line": lines.of(end), "exported": exported and not (inside_function and lang not in ("go",)), "signature": source[at if grouped else start : body].strip()[:300] or None, "parent_name": parent})
         if out_kind in ("function", "method"):
             functions.append((start, end, name, at))
     names_at = {f[3] for f in functions}
@@ -180,5 +196,5 @@ def extract(source: str, lang: str) -> dict:
         if any(a <= at <= b for a, b in bare) and not inner:
             continue
         calls.append({"name": name, "line": lines.of(at), "enclosing_symbol": max(inner)[2] if inner else None, "kind": "instantiates" if m.group("new") else "calls"})
-    errors = [{"line": lines.of(at), "message": "unbalanced bracket"} for at in wrong[:1]]
+    errors = [{"line": lines.of(at), "message": "unbalanced bracket"} for at in sorted(wrong)]
     return {"symbols": symbols, "imports": _imports(source, masked, lang, lines), "call_sites": calls, "errors": errors}

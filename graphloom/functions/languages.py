@@ -29,17 +29,21 @@ def language_of(path) -> Column:
     return out
 
 
+def vendored(path) -> Column:
+    """Whether a directory that is never indexed lies on the path."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*(F.lit(v) for v in VENDORED)))
+
+
 def skip_reason(path, size, content, readable=None, is_file=None) -> Column:
     """Why a candidate is not indexed, the first reason that holds; null where it is."""
     p, n, raw = (F.col(x) if isinstance(x, str) else x for x in (path, size, content))
     text = F.make_valid_utf8(raw.cast("string"))
-    vendored = F.arrays_overlap(F.split(p, "/"), F.array(*(F.lit(v) for v in VENDORED)))
     known = language_of(p).isNotNull()
     lines = F.greatest(F.size(F.split(text, "\n")), F.lit(1))
     minified = basename(p).rlike(r"\.min\.[a-z]+$") | (F.length(text) / lines > MAX_LINE_AVERAGE)
     binary = F.contains(F.substring(raw, 1, SNIFF_BYTES), F.lit(b"\x00"))
     return (
-        F.when(vendored, F.lit("vendored"))
+        F.when(vendored(p), F.lit("vendored"))
         .when(~(readable if readable is not None else F.lit(True)), F.lit("unreadable"))
         .when(~(is_file if is_file is not None else F.lit(True)), F.lit("not-a-file"))
         .when(n > MAX_BYTES, F.lit("too-large"))

@@ -20,13 +20,18 @@ def in_window(commits: DataFrame, days: int, now: Column | None = None) -> DataF
 
 
 def churn(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """(file_id, commits, authors, bug_fixes, last_commit_at) over the commits given."""
+    """(file_id, commits, authors, bug_fixes, last_commit_at) over the commits given.
+
+    The last commit is the first in the log's order where ``log_ordinal`` tells
+    it (dates of a log need not fall, and carry offsets), else the latest.
+    """
+    last = F.min_by("committed_at", "log_ordinal") if "log_ordinal" in commits.columns else F.max_by("committed_at", F.struct("committed_at", "commit_id"))
     rows = commit_files.join(commits.withColumn("bug_fix", is_bug_fix("subject")), "commit_id")
     return rows.groupBy("file_id").agg(
         F.count(F.lit(1)).alias("commits"),
         F.countDistinct("author").alias("authors"),
         F.count_if("bug_fix").alias("bug_fixes"),
-        F.max_by("committed_at", F.struct("committed_at", "commit_id")).alias("last_commit_at"),
+        last.alias("last_commit_at"),
     )
 
 

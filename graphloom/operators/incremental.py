@@ -55,9 +55,9 @@ def replace_rows(old: DataFrame, new: DataFrame, gone: DataFrame, key: str = "pa
 def unlink_targets(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Edges into deleted files keep their row and confidence and lose their target.
 
-    ``edges`` has (src_path, dst_path, dst_symbol, ...), ``deleted`` (path).
+    ``edges`` has (dst_file_id, dst_symbol_id, ...), ``deleted`` (id).
     """
-    gone = deleted.select(F.col("path").alias("dst_path"), F.lit(True).alias("_gone")).distinct()
-    out = edges.join(deleted.select(F.col("path").alias("src_path")).distinct(), "src_path", "left_anti").join(gone, "dst_path", "left")
-    lost = F.col("_gone").isNotNull()
-    return out.withColumn("dst_path", F.when(~lost, F.col("dst_path"))).withColumn("dst_symbol", F.when(~lost, F.col("dst_symbol"))).select(*edges.columns)
+    gone = deleted.select(F.col("id").alias("dst_file_id"), F.lit(True).alias("_gone")).distinct()
+    out = edges.join(gone, "dst_file_id", "left")
+    keep = F.col("_gone").isNull()
+    return out.withColumn("dst_file_id", F.when(keep, F.col("dst_file_id"))).withColumn("dst_symbol_id", F.when(keep, F.col("dst_symbol_id"))).select(*edges.columns)

@@ -1,9 +1,12 @@
 """The index: cold builds, incremental refreshes, and their commit protocol.
 
-An index is a folder of immutable snapshots and one ``meta`` table.  A build
-first removes ``meta``, then writes a whole new snapshot, and writes ``meta``
-last; a reader without it finds the index incomplete.  Identifiers are hashes
-of a path and a position, so that a refresh and a full rebuild agree on them.
+An index is a folder of immutable snapshots and one ``meta`` table that names
+the current one.  A build or refresh writes a whole new snapshot, then the new
+meta beside the old, and then puts it in the old one's place, so that a crash
+at any point leaves either the old index or the new one.  The snapshot before
+the current one stays for readers that still use it; older ones are deleted.
+Identifiers are hashes of a path and a position, so that a refresh and a full
+rebuild agree on them.
 """
 
 from __future__ import annotations
@@ -77,13 +80,43 @@ def _go_prefix(found: DataFrame) -> str | None:
     return repository.go_module_prefix(mod)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _meta_path(spark: SparkSession, home: str) -> str | None:
+    """The meta table; the one that a crash left beside it where there is no other."""
+    for name in ("meta", "meta-next"):
+        if _exists(spark, f"{home}/{name}/_SUCCESS"):
+            return f"{home}/{name}"
+    return None
+
+
 def _write(spark: SparkSession, home: str, tables: dict[str, DataFrame], meta: dict[str, str]) -> None:
     snapshot = f"{home}/snapshot-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{snapshot}/{name}")
     rows = {**meta, "schema_version": str(SCHEMA_VERSION), "snapshot": snapshot, "indexed_at": str(int(time.time() * 1000)), "index_complete": "true"}
-    _remove(spark, f"{home}/meta")
-    spark.createDataFrame(sorted(rows.items()), META).coalesce(1).write.parquet(f"{home}/meta")
+    before = _meta_path(spark, home)
+    last = {r["value"] for r in spark.read.schema(META).parquet(before).where("key = 'snapshot'").collect()} if before else set()
+    if before == f"{home}/meta":
+        _remove(spark, f"{home}/meta-next")
+    else:
+        _remove(spark, f"{home}/meta")
+    fresh = "meta-next" if before == f"{home}/meta" else "meta"
+    spark.createDataFrame(sorted(rows.items()), META).coalesce(1).write.parquet(f"{home}/{fresh}")
+    if fresh == "meta-next":
+        _remove(spark, f"{home}/meta")
+        fs, source = _file_system(spark, f"{home}/meta-next")
+        fs.rename(source, _file_system(spark, f"{home}/meta")[1])
+    else:
+        _remove(spark, f"{home}/meta-next")
+    fs, folder = _file_system(spark, home)
+    names = {x.rstrip("/").rsplit("/", 1)[-1] for x in [snapshot, *last]}
+    for status in fs.listStatus(folder):
+        if status.getPath().getName().startswith("snapshot-") and status.getPath().getName() not in names:
+            fs.delete(status.getPath(), True)
 
 
 def _meta_of(root: str, found: DataFrame) -> dict[str, str]:
@@ -100,16 +133,24 @@ def _meta_of(root: str, found: DataFrame) -> dict[str, str]:
     }
 
 
-def build(spark: SparkSession, root: str, home: str) -> None:
-    """Indexes everything from scratch."""
-    _remove(spark, f"{home}/meta")
+def _report(spark: SparkSession, home: str, started: float) -> dict[str, int]:
+    at = load(spark, home)
+    errors = at.files.agg(F.coalesce(F.sum("error_count"), F.lit(0))).first()[0]
+    counts = {"files_indexed": int(at.meta["files_indexed"]), "files_skipped": int(at.meta["files_skipped"])}
+    return counts | {"symbols": at.symbols.count(), "edges": at.edges.count(), "parse_errors": errors, "duration_ms": int(1000 * (time.time() - started))}
+
+
+def build(spark: SparkSession, root: str, home: str) -> dict[str, int]:
+    """Indexes everything from scratch and reports what it found."""
+    started = time.time()
     found = materialize(repository.discover(spark, root), "found")
-    parsed = materialize(parse_files(found.where("skip_reason is null").select("path", F.coalesce("content", F.lit(b"")).alias("content"))), "parsed")
+    parsed = materialize(parse_files(found.where("skip_reason is null").select("path", "content")), "parsed")
     files, symbols, raw, sites = nodes(parsed)
     imports = materialize(resolved_imports(raw, files.select("path"), _go_prefix(found)), "imports")
     edges = _with_source(calls.resolve_calls(sites, symbols, imports, files), files)
     _write(spark, home, {"files": files, "symbols": symbols, "imports": imports, "edges": edges}, _meta_of(root, found))
     discard(found, parsed, imports)
+    return _report(spark, home, started)
 
 
 def _with_source(edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -118,18 +159,26 @@ def _with_source(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, home: str) -> Snapshot:
     """The current snapshot; refuses another schema version and an unfinished index."""
-    if not _exists(spark, f"{home}/meta"):
+    path = _meta_path(spark, home)
+    if path is None:
         raise IndexError_("the index is missing or incomplete; build it first")
-    meta = {r["key"]: r["value"] for r in spark.read.schema(META).parquet(f"{home}/meta").collect()}
+    try:
+        meta = {r["key"]: r["value"] for r in spark.read.schema(META).parquet(path).collect()}
+    except Exception as e:  # noqa: BLE001  whatever the file system or the format reports
+        raise IndexError_(f"the index at {home} cannot be read and may be corrupt; rebuild it with `index --full` ({str(e)[:200]})") from e
     if meta.get("schema_version") != str(SCHEMA_VERSION):
         raise IndexError_(f"the index has schema version {meta.get('schema_version')}, not {SCHEMA_VERSION}; rebuild it")
     if meta.get("index_complete") != "true":
         raise IndexError_("the index is incomplete; rebuild it")
-    return Snapshot(**{t: spark.read.parquet(f"{meta['snapshot']}/{t}") for t in TABLES}, meta=meta)
+    try:
+        tables = {t: spark.read.parquet(f"{meta['snapshot']}/{t}") for t in TABLES}
+    except Exception as e:  # noqa: BLE001  whatever the file system or the format reports
+        raise IndexError_(f"the index at {home} cannot be read and may be corrupt; rebuild it with `index --full` ({str(e)[:200]})") from e
+    return Snapshot(**tables, meta=meta)
 
 
 def changes(spark: SparkSession, snapshot: Snapshot, found: DataFrame) -> DataFrame:
-    now = found.where("skip_reason is null").select("path", F.sha2(F.make_valid_utf8(F.coalesce("content", F.lit(b"")).cast("string")), 256).alias("content_hash"))
+    now = found.where("skip_reason is null").select("path", F.sha2(F.make_valid_utf8(F.col("content").cast("string")), 256).alias("content_hash"))
     return incremental.change_set(now, snapshot.files.select("path", "content_hash"))
 
 
@@ -140,18 +189,17 @@ def refresh(spark: SparkSession, root: str, home: str) -> dict[str, int]:
     except IndexError_ as e:
         if "schema version" in str(e):
             raise
-        build(spark, root, home)
-        return {"fell_back_to_cold": 1}
+        return build(spark, root, home) | {"fell_back_to_cold": 1}
+    started = time.time()
     found = materialize(repository.discover(spark, root), "found")
     delta = materialize(changes(spark, old, found), "delta")
     counts = {r["status"]: r["count"] for r in delta.groupBy("status").count().collect()}
     if not counts.get("changed") and not counts.get("deleted"):
         discard(found, delta)
         return {"changed": 0, "deleted": 0, "unchanged": counts.get("unchanged", 0), "reparsed": 0, "fell_back_to_cold": 0}
-    _remove(spark, f"{home}/meta")
     deleted = delta.where("status = 'deleted'").select("path")
     dirty = delta.where("status = 'changed'").select("path")
-    sources = found.where("skip_reason is null").select("path", F.coalesce("content", F.lit(b"")).alias("content"))
+    sources = found.where("skip_reason is null").select("path", "content")
     known = sources.select("path")
     prefix = _go_prefix(found)
     survivors = old.imports.join(deleted, "path", "left_anti").join(dirty, "path", "left_anti")
@@ -171,9 +219,10 @@ def refresh(spark: SparkSession, root: str, home: str) -> dict[str, int]:
     all_imports = materialize(incremental.replace_rows(old.imports, imports, gone), "imports")
     edges = _with_source(calls.resolve_calls(sites, all_symbols, all_imports, all_files), all_files)
     kept = old.edges.join(gone.select(F.col("path").alias("src_path")).distinct(), "src_path", "left_anti")
-    all_edges = kept.select(*old.edges.columns).unionByName(edges.select(*old.edges.columns))
+    kept = incremental.unlink_targets(kept.select(*old.edges.columns), deleted.select(file_id("path").alias("id")))
+    all_edges = kept.unionByName(edges.select(*old.edges.columns))
     _write(spark, home, {"files": all_files, "symbols": all_symbols, "imports": all_imports, "edges": all_edges}, _meta_of(root, found))
-    out = {"changed": counts.get("changed", 0), "deleted": counts.get("deleted", 0), "unchanged": counts.get("unchanged", 0), "reparsed": parsed.count(), "fell_back_to_cold": 0}
+    out = {"changed": counts.get("changed", 0), "deleted": counts.get("deleted", 0), "unchanged": counts.get("unchanged", 0), "reparsed": parsed.count(), "fell_back_to_cold": 0} | _report(spark, home, started)
     discard(found, delta, touched, parsed, imports, all_files, all_symbols, all_imports)
     return out
 

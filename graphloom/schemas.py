@@ -7,6 +7,7 @@ SCHEMA_VERSION = 2
 #: Confidence tiers from weakest to strongest; the rank is the position.
 CONFIDENCES = ("unresolved", "ambiguous", "heuristic", "resolved", "exact")
 SYMBOL_KINDS = ("function", "class", "method", "interface", "type", "enum", "variable")
+EDGE_KINDS = ("calls", "extends", "implements", "instantiates", "references")
 SKIP_REASONS = ("vendored", "unreadable", "not-a-file", "too-large", "minified", "binary")
 
 FILES = "id bigint, path string, lang string, content_hash string, loc int, last_commit string, error_count int, indexed_at bigint"

@@ -1,8 +1,9 @@
 """Repositories as tables: files, git history, and manifests.
 
 Listing happens on the driver (one process has the checkout's metadata);
-contents are read by executors through ``binaryFile``, so that large checkouts
-on shared storage spread over the cluster.
+contents are read by executors, path by listed path, so that large checkouts
+on shared storage spread over the cluster.  (A file source would leave out
+names that begin with ``_`` or ``.``.)
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ import os
 import subprocess
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.languages import VENDORED, skip_reason
+from ..functions.languages import MAX_BYTES, VENDORED, skip_reason, vendored
 
+FILES_PER_TASK, READ_BYTES = 500, 8 << 20
 RECORD, UNIT = "\x1e", "\x1f"
 
 
@@ -78,8 +81,43 @@ def list_candidates(root: str) -> list[str]:
     return sorted(found)
 
 
+def read_contents(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` (path, size, readable, is_file) with ``content``; what cannot be read turns unreadable.
+
+    Files that are vendored, not files or too large are not opened.
+    """
+
+    def run(batches):
+        for batch in batches:
+            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            out, held = [], 0
+            start = 0
+            for i, path in enumerate(columns["path"]):
+                content, readable = None, columns["readable"][i]
+                if columns["wanted"][i]:
+                    try:
+                        content = Path(root, path).read_bytes()
+                    except OSError:
+                        readable = False
+                out.append((content, readable))
+                held += len(content or b"")
+                if held >= READ_BYTES or i == len(columns["path"]) - 1:
+                    part = batch.slice(start, i + 1 - start)
+                    arrays = [part.column(0), part.column(1), pa.array([r for _, r in out]), part.column(3), pa.array([c for c, _ in out], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["path", "size", "readable", "is_file", "content"])
+                    out, held, start = [], 0, i + 1
+
+    wanted = ~vendored("path") & F.col("readable") & F.col("is_file") & (F.col("size") <= MAX_BYTES)
+    rows = listed.select("path", "size", "readable", "is_file", wanted.alias("wanted"))
+    return rows.mapInArrow(run, "path string, size bigint, readable boolean, is_file boolean, content binary")
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, content, skip_reason) of every candidate; content is null where it was not read."""
+    """(path, size, content, skip_reason) of every candidate; content is null where it was not read.
+
+    Every file that is not skipped has its content: one that cannot be read is
+    skipped as unreadable, never taken for an empty file.
+    """
     root = os.path.abspath(root)
     entries = []
     for p in list_candidates(root):
@@ -90,12 +128,8 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
         except OSError:
             entries.append((p, None, p.endswith("<directory>"), False))
     listed = spark.createDataFrame(entries, "path string, size bigint, readable boolean, is_file boolean")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    prefix = "file:" + root.rstrip("/") + "/"
-    contents = reader.load("file://" + root).where(F.col("length") <= 1_000_000).select(F.expr(f"substring(path, {len(prefix) + 1})").alias("path"), "content")
-    out = listed.join(contents, "path", "left")
-    reason = skip_reason("path", "size", "content", F.col("readable"), F.col("is_file"))
-    return out.withColumn("skip_reason", reason)
+    out = read_contents(listed.repartition(max(1, len(entries) // FILES_PER_TASK), "path"), root)
+    return out.withColumn("skip_reason", skip_reason("path", "size", "content", F.col("readable"), F.col("is_file")))
 
 
 def skip_breakdown(found: DataFrame) -> DataFrame:
@@ -132,12 +166,26 @@ class GitLogReader(DataSourceReader):
         if self.days <= 0:
             return
         form = f"--pretty=format:{RECORD}%H{UNIT}%an{UNIT}%aI{UNIT}%s"
-        out = git(self.path, "log", "--no-merges", f"--since={self.days} days ago", "--name-only", form)
-        for ordinal, record in enumerate((out or "").split(RECORD)[1:]):
-            head, *paths = record.strip("\n").split("\n")
-            commit, author, when, subject = head.split(UNIT, 3)
-            for path in [p for p in paths if p.strip()] or [None]:
-                yield commit, ordinal, author, when, subject, path
+        args = ["git", "-C", self.path, "log", "--no-merges", f"--since={self.days} days ago", "--name-only", form]
+        try:
+            log = subprocess.Popen(args, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+        except OSError:
+            return
+        ordinal, head, paths = -1, None, 0
+        with log, log.stdout as lines:  # line by line: the log is never held whole
+            for line in lines:
+                text = line.decode("utf-8", "replace").rstrip("\n")
+                if text.startswith(RECORD):
+                    if head is not None and not paths:
+                        yield (*head, None)
+                    ordinal += 1
+                    commit, author, when, subject = text[1:].split(UNIT, 3)
+                    head, paths = (commit, ordinal, author, when, subject), 0
+                elif text.strip() and head is not None:
+                    paths += 1
+                    yield (*head, text)
+            if head is not None and not paths:
+                yield (*head, None)
 
 
 def git_log(spark: SparkSession, root: str, days: int = 180) -> DataFrame:

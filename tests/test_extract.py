@@ -53,3 +53,25 @@ def test_every_file_has_a_row():
     assert parse(".js", "x")["lang"] is None and parse(".eslintrc.js", "x")["lang"] == "javascript"
     assert (loc(""), loc("a"), loc("a\n"), loc("a\n\n")) == (0, 1, 1, 2)
     assert parse_safely("a.py", None)["content_hash"] == ""
+
+
+def test_go_type_groups():
+    r = parse("m/t.go", "package m\ntype (\n\tA struct {\n\t\tB int\n\t}\n\tc interface { D() }\n\tE[T any] []T\n\tAlias = A\n)\ntype F func(int) error\ntype G = F\nfunc f() {\n\ttype local struct{}\n}\n")
+    assert names(r, "name", "kind", "exported", "start_line", "end_line") == [("A", "type", True, 2, 9), ("c", "type", False, 2, 9), ("E", "type", True, 2, 9), ("F", "type", True, 10, 10), ("f", "function", False, 12, 14), ("local", "type", False, 13, 13)]
+    assert r["symbols"][0]["signature"] == "A struct" and not r["errors"]
+
+
+def test_every_unmatched_bracket_is_an_error():
+    r = parse("a.ts", "export function one() { return (1 }\nfunction two() { }\n]\nconst x = [2\n")
+    assert len(r["errors"]) >= 3 and "two" in [s["name"] for s in r["symbols"]]
+
+
+def test_python_keeps_what_parses():
+    source = "import os\n\nclass A(Base):\n    def good(self):\n        return helper(1)\n\n    def bad(self:\n        x = =\n\n    @wrap\n    def after(self):\n        go()\n\ndef broken(:\n    inner()\n\ndef last():\n    y = 1 +\n    done()\n\nfrom .x import z\n"
+    r = parse("p.py", source)
+    assert names(r, "name", "kind", "parent_name", "start_line", "end_line") == [("A", "class", None, 3, 12), ("good", "method", "A", 4, 5), ("after", "method", "A", 11, 12), ("last", "function", None, 17, 19)]
+    assert specifiers(r) == [("os", "static", 1), (".x.z", "static", 21)]
+    assert [(c["name"], c["enclosing_symbol"]) for c in r["call_sites"]] == [("helper", "good"), ("go", "after"), ("inner", None), ("done", "last")]
+    assert [e["line"] for e in r["errors"]] == [7, 8, 14, 18]
+    assert parse("q.py", "x = (\n")["errors"] and parse("r.py", "\x00")["errors"]
+    assert len(parse("s.py", "x = = 1\n" * 3000)["errors"]) == 3000

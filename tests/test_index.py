@@ -5,6 +5,7 @@ import shutil
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import api, cli
 from graphloom.plans import index
@@ -15,7 +16,10 @@ SOURCES = {
     "src/services/notify.ts": "export function notify(x) { return x }\n",
     "src/services/order.ts": "import { notify } from './notify'\nimport { helper } from '../helper'\nexport class OrderService {\n  place() {\n    notify(1)\n    return helper()\n  }\n}\n",
     "src/index.ts": "import { OrderService } from './services/order'\nimport fs from 'node:fs'\nexport function main() { return new OrderService().place() }\n",
-    "pkg/__init__.py": "",
+    "pkg/__init__.py": "from .helper import helper\n\ndef setup():\n    return helper()\n",
+    "pkg/_private.py": "def hidden():\n    return 2\n",
+    "pkg/empty.py": "",
+    ".config/tool.py": "def configured():\n    return 3\n",
     "pkg/helper.py": "def helper():\n    return 1\n",
     "pkg/service.py": "from .helper import helper\n\ndef serve():\n    return helper()\n",
     "go.mod": "module example.com/m\n",
@@ -73,6 +77,40 @@ def test_discovery_skips_and_counts(spark, checkout):
     assert walked == {"bundle.min.js": "minified", "assets/logo.bin": "binary", "node_modules/<directory>": "vendored"}
 
 
+def test_hidden_names_are_read_and_edits_to_them_noticed(spark, first_build, tmp_path):
+    at = index.load(spark, f"file://{first_build}/home")
+    named = {(r["path"], r["name"]) for r in at.symbols.join(at.files.select(F.col("id").alias("file_id"), "path"), "file_id").collect()}
+    assert {("pkg/__init__.py", "setup"), ("pkg/_private.py", "hidden"), (".config/tool.py", "configured")} <= named
+    checkout = tmp_path / "repo"
+    shutil.copytree(first_build / "repo", checkout)
+    write(checkout, {"pkg/__init__.py": "def setup():\n    return 0\n"})
+    assert [r["path"] for r in index.changes(spark, at, repository.discover(spark, str(checkout))).where("status = 'changed'").collect()] == ["pkg/__init__.py"]
+
+
+def test_what_cannot_be_read_is_not_empty(spark, tmp_path):
+    write(tmp_path, {"a.py": "x = 1\n", "b.py": ""})
+    listed = spark.createDataFrame([("a.py", 6, True, True), ("gone.py", 5, True, True), ("b.py", 0, True, True), ("vendor/x.py", 3, True, True)], "path string, size bigint, readable boolean, is_file boolean")
+    got = {r["path"]: (r["content"], r["readable"]) for r in repository.read_contents(listed, str(tmp_path)).collect()}
+    assert got == {"a.py": (b"x = 1\n", True), "gone.py": (None, False), "b.py": (b"", True), "vendor/x.py": (None, True)}
+
+
+def test_a_crash_leaves_an_index(spark, checkout, tmp_path):
+    home = f"file://{tmp_path}/home"
+    report = index.build(spark, str(checkout), home)
+    assert report["symbols"] > 10 and report["edges"] > 3 and report["files_skipped"] == 3 and report["duration_ms"] > 0
+    (tmp_path / "home" / "meta").rename(tmp_path / "home" / "meta-next")
+    assert index.load(spark, home).meta["index_complete"] == "true"
+    write(checkout, {"src/helper.ts": "// edited\n"})
+    assert index.refresh(spark, str(checkout), home)["changed"] == 1
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "home").iterdir()) == ["meta", "snapshot", "snapshot"]
+    for p in (tmp_path / "home").glob("snapshot-*/files/*.parquet"):
+        p.write_bytes(b"junk")
+    for p in (tmp_path / "home").glob("snapshot-*/files/.*.crc"):
+        p.unlink()
+    with pytest.raises(index.IndexError_, match="corrupt"):
+        index.load(spark, home).files.count()
+
+
 @pytest.fixture(scope="module")
 def first_build(spark, tmp_path_factory):
     """One cold build of the unedited sources; tests copy its checkout and its meta table."""
@@ -156,6 +194,17 @@ def test_public_queries(spark, checkout, tmp_path):
             bad()
 
 
+def test_serving_survives_bad_requests(spark, tmp_path):
+    answers = []
+    lines = ["{broken", "[1]", "", json.dumps({"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "find_cycles", "arguments": {"repo": str(tmp_path), "colour": 1}}}), json.dumps({"jsonrpc": "2.0", "id": 5, "method": "tools/list"})]
+    cli.serve(spark, f"file://{tmp_path}/h", lines, lambda text: answers.append(json.loads(text)))
+    assert [a.get("error", {}).get("code") for a in answers] == [-32700, -32700, -32602, None]
+    tools = {t["name"]: t for t in answers[-1]["result"]["tools"]}
+    assert tools["get_dependencies"]["inputSchema"]["required"] == ["target"] and tools["get_dependencies"]["inputSchema"]["properties"]["minConfidence"]["enum"][0] == "exact"
+    assert tools["find_hotspots"]["inputSchema"]["properties"]["windowDays"] == {"type": "integer", "minimum": 1, "maximum": 3650, "default": 180}
+    assert all(t["description"] for t in tools.values())
+
+
 def test_json_rpc(spark, tmp_path):
     ask = lambda **r: cli.respond(spark, f"file://{tmp_path}", {"jsonrpc": "2.0", "id": 1, **r})
     assert len(ask(method="tools/list")["result"]["tools"]) == 10
