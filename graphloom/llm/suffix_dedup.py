@@ -33,7 +33,7 @@ from . import kernels as K
 from .repeats import ROW, buckets, context_blocks, identified, named, range_lists, repeated_ranges, shapes, with_ranges
 
 #: Bytes of contexts in a bucket and of sorted suffixes in a batch, at windows of 100 bytes.
-BUCKET_BYTES, BATCH_BYTES = 2 << 20, 32 << 20
+BUCKET_BYTES, BATCH_BYTES = 512 << 10, 4 << 20
 
 
 class SuffixArray:
