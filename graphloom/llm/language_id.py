@@ -6,9 +6,10 @@ value is its share of the text's n-grams times its inverse document frequency.
 Document frequencies are counted over every training document.  The weights
 are learned by follow-the-regularised-leader with an elastic net (the L1 part
 keeps them sparse), on at most ``per_class`` training documents a language
-(expected number, chosen by a hash of the id) and at most ``MAX_CLASSES``
-languages, those with the most documents.  A fifth of that sample is left out
-of the fit and calibrates one temperature by negative log-likelihood.
+(expected number, chosen by a hash of id and text).  A fifth of that sample is
+left out of the fit and calibrates one temperature by negative log-likelihood.
+Every language with a training document is learned; the model is languages
+times bins, and more than ``MAX_CLASSES`` languages raise an error.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; ties go to the language first in name order; without training documents
@@ -30,7 +31,7 @@ from . import kernels as K
 
 BITS = 15
 ORDERS = (2, 3)
-MAX_CLASSES = 64
+MAX_CLASSES = 2048
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.array([ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
 
@@ -182,13 +183,15 @@ SCALE = 50.0  # shares of n-grams are small; one constant for all documents
 def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_class: int = 1000, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, seed: int = 7) -> Model:
     """Learns from the rows for which ``usable`` holds and the label is known."""
     pool = docs.where(usable & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = pool.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(MAX_CLASSES).collect()
+    sizes = pool.groupBy(label_col).count().orderBy(label_col).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} languages in {label_col}")
     labels = sorted(r[0] for r in sizes)
     if not labels:
         return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros(0), 1.0)
     df, n = document_frequencies(docs.where(usable), text_col)
     idf = np.log((1 + n) / (1 + df)) + 1
-    draw = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
     chance = F.lit(0.0)
     for r in sizes:
         chance = F.when(F.col(label_col) == r[0], F.lit(min(1.0, per_class / r["count"]))).otherwise(chance)
@@ -204,7 +207,7 @@ def train(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col:
                     names=["label", "bins", "counts", "draw"],
                 )
 
-    sample = pool.where(draw < chance).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("draw"))
+    sample = pool.where(draw < chance).select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("draw"))
     got = sample.mapInArrow(run, f"label {kind}, bins array<int>, counts array<bigint>, draw bigint").orderBy("draw").limit(2 * per_class * len(labels)).collect()
     place = {v: k for k, v in enumerate(labels)}
     rows, rest = [], []

@@ -5,31 +5,39 @@ document, posterior probabilities over the domains; the documents' rates
 (expected copies, nonnegative) are then fitted by projected-gradient least
 squares so that each domain's expected tokens meet its target.
 
-* Classifier: naive Bayes over the binned densities of a fixed set of probe
-  strings.  Its table has one row per (probe, bin, domain), counted over every
-  labelled document; densities are computed beside the scan and no word is
-  ever exploded.
+* Classifier: multinomial naive Bayes over words hashed to ``BINS`` bins.  It
+  learns from at most ``per_domain`` labelled documents a domain (expected
+  number, chosen by a hash of the id); a fifth of that sample is left out of
+  the counts and calibrates how strongly the mean evidence of a word weighs
+  against the prior.  Labelled documents of domains without a target form one
+  class more, ``None``, so that they are not taken for a target's.  Scoring
+  explodes the words beside the scan, meets the broadcast table of bins (at
+  most ``BINS`` rows of one number per class) and sums by row, combined on the
+  map side; only one row a document is shuffled.
 * Fit: with tokens n, posteriors p and rates r, the residual of domain k is
   (sum of n p_k r) / t_k - 1, weighted by t_k / s_k where s_k is the domain's
-  size at rate one, which makes the problem well conditioned.  A step moves r
-  against its gradient in the token-weighted metric and clips at zero.  The
-  rates need no state between steps: they are a fixed expression over the
-  posteriors and the history of residuals (a vector of one number per
-  domain), so an iteration is one aggregate over the features table and
-  nothing else is shuffled, kept or lost with an executor.
+  size at rate one, which makes the problem well conditioned.  The class
+  without a target has the target zero.  A step moves r against its gradient
+  in the token-weighted metric and clips at zero.  The rates need no state
+  between steps: they are a fixed expression over the posteriors and the
+  history of residuals (a vector of one number per domain), so an iteration is
+  one aggregate over the posteriors and nothing else is shuffled, kept or lost
+  with an executor.
 
 Everything runs in DataFrame operations.  The driver only sees per-domain
-numbers, at most ``MAX_DOMAINS`` of them.
+numbers; more than ``MAX_DOMAINS`` targets raise an error.
 
 Defined results: null and empty texts have zero tokens and the prior
-posterior; without labelled rows there are no domains and every rate is 1;
-target weights of domains that no labelled row has are dropped and the rest
-renormalised; an empty table gives an empty result; repeated rows get equal
-rates; extra columns pass through untouched.
+posterior; without labelled rows of a target there are no domains and every
+rate is 1; target weights of domains that no labelled row has are dropped and
+the rest renormalised; documents with several labels count for each; an empty
+table gives an empty result; repeated rows and rows without an id are scored
+alike; extra columns, clashing names included, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,57 +45,81 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PROBES = ("e", "a", "i", "o", "u", "n", "s", "t", "h", "l", "c", "w", "k", "z", "ch", "th", "é", "ñ", "ß", "ü")
-BINS = 24
+BINS = 1 << 14
 MAX_DOMAINS = 64
-WORDS = r"[^\x20\x09-\x0D]+"
-
-
-def probe_bins(text: Column) -> list[Column]:
-    """Bin of each probe's density; square-root spacing."""
-    low = F.lower(text)
-    size = F.greatest(F.length(text), F.lit(1))
-    out = []
-    for p in PROBES:
-        times = (F.length(low) - F.length(F.replace(low, F.lit(p)))) / len(p)
-        out.append(F.least(F.lit(BINS - 1), F.floor(F.sqrt(times / size) * 40)).cast("int"))
-    return out
-
-
-def features(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, bins) of every row."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(WORDS)).cast("double").alias("n_tokens"), F.array(*probe_bins(text)).alias("bins"))
-
-
-def fit_table(labelled: DataFrame, domains: list[str], smoothing: float = 0.5) -> tuple[list[float], list]:
-    """Log prior by domain and log likelihood [probe][bin][domain], from every labelled row."""
-    from math import log
-
-    rows = labelled.select("domain", F.posexplode("bins").alias("probe", "bin")).groupBy("domain", "probe", "bin").count().collect()
-    place = {d: k for k, d in enumerate(domains)}
-    counts = [[[0.0] * len(domains) for _ in range(BINS)] for _ in PROBES]
-    total = [0.0] * len(domains)
-    for r in rows:
-        if r["domain"] in place:
-            counts[r["probe"]][r["bin"]][place[r["domain"]]] += r["count"]
-            total[place[r["domain"]]] += r["count"] / len(PROBES)
-    everything = sum(total)
-    prior = [log((t + 1) / (everything + len(domains))) for t in total]
-    table = [[[log((c + smoothing) / (total[k] + smoothing * BINS)) for k, c in enumerate(row)] for row in probe] for probe in counts]
-    return prior, table
-
-
-def posteriors(feats: DataFrame, prior: list[float], table: list) -> DataFrame:
-    """Adds ``p``: the posterior of each domain, by looking the bins up in the table."""
-    scores = []
-    for k in range(len(prior)):
-        terms = [F.element_at(F.array(*(F.lit(float(b[k])) for b in table[j])), F.col("bins")[j] + 1) for j in range(len(PROBES))]
-        scores.append(reduce(lambda a, b: a + b, terms, F.lit(float(prior[k]))))
-    scored = feats.withColumn("scores", F.array(*scores)).withColumn("top", F.array_max("scores"))
-    odds = [F.exp(F.col("scores")[k] - F.col("top")) for k in range(len(prior))]
+#: White space between words.
+GAPS = r"[\x20\x09-\x0D]+"
+#: Candidate weights of the mean evidence of a word.
+WEIGHTS = (1.0, 3.0, 10.0, 30.0, 100.0, 300.0)
+SEED = 5
+
+
+def words(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, bin): a row for every word of every text; white space at its ends, or a text without words, gives null bins."""
+    each = F.explode(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), GAPS)).alias("word")
+    return rows.select(*keep, each).select(*keep, F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(BINS)).cast("int")).alias("bin"))
+
+
+def labelled_sample(docs: DataFrame, marks: DataFrame, per_domain: int) -> DataFrame:
+    """(domain, text, held) of a bounded sample of the labelled documents; ``marks`` has (id, domain), ``docs`` (id, text)."""
+    sizes = {r["domain"]: r["count"] for r in marks.groupBy("domain").count().collect()}
+    draw = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 30))
+    chance = F.lit(0)
+    for domain, n in sorted(sizes.items(), key=lambda x: x[0] or ""):
+        same = F.col("domain").isNull() if domain is None else F.col("domain") == domain
+        chance = F.when(same, F.lit(math.ceil(min(1.0, per_domain / n) * (1 << 30)))).otherwise(chance)
+    chosen = marks.where(draw < chance).withColumn("held", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(5)) == 0)
+    return docs.join(F.broadcast(chosen), "id").select("domain", "text", "held")  # bounded by per_domain
+
+
+def fit_table(sample: DataFrame, domains: list[str | None], smoothing: float = 0.1) -> tuple[DataFrame, list[float], list[float]]:
+    """(bin table (bin, e0, e1, ...), default evidence of each class, log priors) from (domain, text)."""
+    at = F.lit(None).cast("int")
+    for k, d in enumerate(domains):
+        at = F.when(F.col("domain").isNull() if d is None else F.col("domain") == d, F.lit(k)).otherwise(at)
+    rows = sample.withColumn("k", at)
+    size = {r["k"]: r["count"] for r in rows.groupBy("k").count().collect()}
+    counts = words(rows, "k").where("bin is not null").groupBy("bin").agg(*(F.count_if(F.col("k") == k).alias(f"n{k}") for k in range(len(domains))))
+    counts = materialize(counts, "mix-bins")
+    total = counts.agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in range(len(domains)))).first()
+    mass = [(total[k] or 0) + smoothing * BINS for k in range(len(domains))]
+    table = counts.select("bin", *(F.log((F.col(f"n{k}") + smoothing) / mass[k]).alias(f"e{k}") for k in range(len(domains))))
+    everything = sum(size.get(k, 0) for k in range(len(domains)))
+    prior = [math.log((size.get(k, 0) + 1) / (everything + len(domains))) for k in range(len(domains))]
+    return table, [math.log(smoothing / m) for m in mass], prior
+
+
+def evidence(rows: DataFrame, table: DataFrame, default: list[float], *keep: str) -> DataFrame:
+    """(keep, n_tokens, e): the words of every row and the mean evidence of a word for each class."""
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())  # rows may share an id
+    met = words(numbered, "_row", *keep).join(F.broadcast(table), "bin", "left")  # at most BINS rows
+    sums = [F.sum(F.when(F.col("bin").isNotNull(), F.coalesce(f"e{k}", F.lit(d)))).alias(f"s{k}") for k, d in enumerate(default)]
+    found = met.groupBy("_row", *keep).agg(F.count("bin").cast("double").alias("n_tokens"), *sums)
+    means = [F.coalesce(F.col(f"s{k}") / F.col("n_tokens"), F.lit(0.0)) for k in range(len(default))]
+    return found.select(*keep, "n_tokens", F.array(*means).alias("e"))
+
+
+def posterior(prior: list[float], weight: float) -> Column:
+    """Posterior of each class from a row's evidence ``e``."""
+    scores = F.array(*(F.lit(p) + F.lit(weight) * F.col("e")[k] for k, p in enumerate(prior)))
+    top = F.array_max(scores)
+    odds = [F.exp(scores[k] - top) for k in range(len(prior))]
     whole = reduce(lambda a, b: a + b, odds)
-    return scored.select("id", "n_tokens", F.array(*(o / whole for o in odds)).alias("p"))
+    return F.array(*(o / whole for o in odds))
+
+
+def calibrate(scored: DataFrame, domains: list[str | None], prior: list[float]) -> float:
+    """The weight of least negative log-likelihood over scored rows (domain, e)."""
+    losses = []
+    for i, w in enumerate(WEIGHTS):
+        p = posterior(prior, w)
+        own = F.lit(None).cast("double")
+        for k, d in enumerate(domains):
+            own = F.when(F.col("domain").isNull() if d is None else F.col("domain") == d, p[k]).otherwise(own)
+        losses.append(F.avg(-F.log(F.greatest(own, F.lit(1e-12)))).alias(f"w{i}"))
+    row = scored.agg(*losses).first()
+    found = [(x, -i) for i, x in enumerate(row) if x is not None]
+    return WEIGHTS[-min(found)[1]] if found else WEIGHTS[2]
 
 
 def rate_expression(history: list[list[float]], step: float, start: float) -> Column:
@@ -123,25 +155,40 @@ def fit_rates(mixed: DataFrame, targets: list[float], *, budget: float | None =
     return rate_expression(history, 1.0, 1.0), [x / made for x in reached]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, steps: int = 25) -> DataFrame:
-    """(id, n_tokens, p, domains, rate, n_copies) for every row.
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, steps: int = 25, per_domain: int = 4000) -> DataFrame:
+    """(id, n_tokens, p, domains, rate, n_copies, shares) for every row.
 
     ``labelled`` has the id and ``domain``; ``weights`` gives each domain's
-    target share.  ``n_copies`` rounds the rate up or down by a hash of the
-    id, so that its expectation is the rate and a rerun repeats it.
+    target share.  ``p`` follows ``domains``, whose last, null, stands for
+    domains without a target where labelled rows have such.  ``n_copies``
+    rounds the rate up or down by a hash of the id, so that its expectation is
+    the rate and a rerun repeats it.  ``shares`` are the shares of the domains'
+    expected tokens that the rates reach, alike in all rows.
     """
-    feats = materialize(features(docs, id_col=id_col, text_col=text_col), "mix-x")
-    marks = labelled.where(F.col("domain").isNotNull()).select(F.col(id_col).alias("id"), "domain")
     wanted = sorted(d for d in weights if weights[d] > 0)
-    known = {r[0] for r in marks.where(F.col("domain").isin(wanted)).groupBy("domain").count().collect()} if wanted else set()
-    domains = [d for d in wanted if d in known][:MAX_DOMAINS]
+    if len(wanted) > MAX_DOMAINS:
+        raise ValueError(f"{len(wanted)} target domains; at most {MAX_DOMAINS} can be fitted")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    target = F.col("domain").isin(wanted) if wanted else F.lit(False)
+    marks = labelled.where(F.col("domain").isNotNull()).select(F.col(id_col).alias("id"), F.when(target, F.col("domain")).alias("domain")).where(F.col("id").isNotNull()).distinct()
+    known = {r[0] for r in marks.select("domain").distinct().collect()}
+    domains: list[str | None] = [d for d in wanted if d in known]
     if not domains:
-        return feats.select("id", "n_tokens", F.array().cast("array<double>").alias("p"), F.array().cast("array<string>").alias("domains"), F.lit(1.0).alias("rate"), F.lit(1).alias("n_copies"))
-    prior, table = fit_table(feats.join(marks, "id"), domains)
-    mixed = materialize(posteriors(feats, prior, table), "mix-p")
+        found = words(rows.withColumn("_row", F.monotonically_increasing_id()), "_row", "id").groupBy("_row", "id").agg(F.count("bin").cast("double").alias("n_tokens"))
+        none = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("p", "double"), ("domains", "string"))]
+        return found.select("id", "n_tokens", *none, F.lit(1.0).alias("rate"), F.lit(1).alias("n_copies"), F.array().cast("array<double>").alias("shares"))
     total = sum(weights[d] for d in domains)
-    rate, _ = fit_rates(mixed, [weights[d] / total for d in domains], budget=budget, steps=steps)
+    goals = [weights[d] / total for d in domains]
+    if None in known:
+        domains, goals = [*domains, None], [*goals, 0.0]
+    sample = labelled_sample(rows, marks, per_domain)
+    table, default, prior = fit_table(sample.where("not held"), domains)
+    weight = calibrate(evidence(sample.where("held"), table, default, "domain"), domains, prior)
+    scored = evidence(rows, table, default, "id").select("id", "n_tokens", posterior(prior, weight).alias("p"))
+    mixed = materialize(scored, "mix-p")
+    rate, shares = fit_rates(mixed, goals, budget=budget, steps=steps)
     draw = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    out = mixed.withColumn("rate", rate).withColumn("domains", F.array(*(F.lit(d) for d in domains)))
+    out = mixed.withColumn("rate", rate).withColumn("domains", F.array(*(F.lit(d) for d in domains)).cast("array<string>"))
     whole = F.floor("rate")
-    return out.select("id", "n_tokens", "p", "domains", "rate", (whole + (draw < F.col("rate") - whole).cast("int")).cast("int").alias("n_copies"))
+    copies = (whole + (draw < F.col("rate") - whole).cast("int")).cast("int").alias("n_copies")
+    return out.select("id", "n_tokens", "p", "domains", "rate", copies, F.array(*(F.lit(float(x)) for x in shares)).alias("shares"))

@@ -90,7 +90,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     labelled = docs.select("doc_id", F.col("lang").alias("domain"))
     found = mixing.mix(docs, labelled, TARGET_WEIGHTS)
-    return found.select(F.col("id").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("p").alias("posterior"), "domains", "rate", "n_copies")
+    return found.select(F.col("id").alias("doc_id"), F.col("n_tokens").cast("bigint").alias("n_tokens"), F.col("p").alias("posterior"), "domains", "rate", "n_copies", "shares")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -311,22 +311,117 @@ def test_prior_estimate():
     assert abs(quality_classifier.estimate_prior(p[:2000], np.concatenate([p[2000:2600], n[:1400]])) - 0.3) < 0.05
 
 
+def test_language_id_beyond_the_old_bound_and_ties(spark, monkeypatch):
+    """Seventy languages of one word each; repeated rows, rows without an id, clashing names and a very long text."""
+    base = [chr(0x561 + i) * 3 + chr(0x561 + j) * 3 for i in range(10) for j in range(7)]
+    rows = [(i * 6 + k, " ".join([w] * (5 + k)), f"l{i:02d}") for i, w in enumerate(base) for k in range(6)]
+    rows += [(9000, base[0], None), (9000, base[0], None), (None, base[3] * 1, None), (9001, " ".join([base[5]] * 200_000), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("id", F.lit("x")).withColumn("score", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.labels) == 70
+    got = language_id.identify(docs, model).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id", "left").collect()
+    known = [r for r in got if r["lang"]]
+    assert sum(r["lang_pred"] == r["lang"] for r in known) / len(known) > 0.95
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["id"] == 9000}) == 1 and [r["lang_pred"] for r in got if r["id"] == 9001] == ["l05"]
+    tie = language_id.Model(["a", "b"], model.weights[:1].repeat(2, axis=0), model.bias[:1].repeat(2), 1.0)
+    assert tie.predict(["same", "x1"])[0] == ["a", "a"]
+    monkeypatch.setattr(language_id, "MAX_CLASSES", 69)
+    with pytest.raises(ValueError):
+        language_id.train(docs, F.lit(True))
+
+
+def test_language_scores_match_brute_force(tongues):
+    """The sparse sums of the model against a gram-by-gram calculation."""
+    import numpy as np
+
+    model = language_id.train(tongues, F.lit(True))
+    assert (model.weights == 0).mean() > 0.5  # the elastic net leaves few weights
+    for text in ("loremo dolori krzya", "a", "Ung  ung\tSCHAFTE 12"):
+        sums = np.array(model.bias, float)
+        bins, _ = language_id.grams([text])
+        n = len(bins)
+        for b in bins.tolist():
+            sums = sums + model.weights[:, b].astype(float) / n
+        p = np.exp((sums - sums.max()) / model.temperature)
+        names, score = model.predict([text])
+        assert names == [model.labels[int(p.argmax())]] and score[0] == pytest.approx((p / p.sum()).max(), rel=1e-5)
+
+
+def brute_mixture(rows, domains, prior, table, default, weight):
+    import math
+
+    out = []
+    for text in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        scores = []
+        for k in range(len(domains)):
+            mean = sum(table.get(x, default)[k] for x in w) / len(w) if w else 0.0
+            scores.append(prior[k] + weight * mean)
+        odds = [math.exp(s - max(scores)) for s in scores]
+        out.append((len(w), [o / sum(odds) for o in odds]))
+    return out
+
+
+def test_posteriors_match_brute_force(spark, tongues):
+    rows = tongues.select(F.col("doc_id").alias("id"), "text")
+    sample = mixing.labelled_sample(rows, tongues.where("lang is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("domain")), 4000)
+    table, default, prior = mixing.fit_table(sample.where("not held"), ["aa", "bb", "cc"])
+    found = {r["id"]: r for r in mixing.evidence(rows, table, default, "id").select("id", "n_tokens", mixing.posterior(prior, 3.0).alias("p")).collect()}
+    texts = {r["id"]: r["text"] for r in rows.collect()}
+    vocabulary = sorted({x for t in texts.values() if t for x in re.split(r"[\x20\x09-\x0D]+", t.lower()) if x})
+    bins = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BINS)).alias("b")).collect()}
+    by_bin = {r["bin"]: [r["e0"], r["e1"], r["e2"]] for r in table.collect()}
+    learned = Counter()
+    for r in sample.where("not held").collect():
+        learned.update((bins[x], r["domain"]) for x in re.split(r"[\x20\x09-\x0D]+", (r["text"] or "").lower()) if x)
+    totals = [sum(n for (_, d), n in learned.items() if d == k) + 0.1 * mixing.BINS for k in ("aa", "bb", "cc")]
+    import math
+
+    for b, e in by_bin.items():
+        assert e == pytest.approx([math.log((learned[b, d] + 0.1) / totals[k]) for k, d in enumerate(("aa", "bb", "cc"))])
+    want = brute_mixture(texts.values(), "abc", prior, {w: by_bin[b] for w, b in bins.items() if b in by_bin}, default, 3.0)
+    for i, (n, p) in zip(texts, want, strict=True):
+        assert found[i]["n_tokens"] == n and found[i]["p"] == pytest.approx(p, abs=1e-9)
+
+
 def test_mixing_meets_its_targets(tongues):
     target = {"aa": 0.6, "bb": 0.3, "cc": 0.1, "zz": 0.5}
     rows = mixing.mix(tongues, tongues.select("doc_id", F.col("lang").alias("domain")), target).collect()
     assert len(rows) == tongues.count() and rows[0]["domains"] == ["aa", "bb", "cc"]
     made = [sum(r["n_tokens"] * r["p"][k] * r["rate"] for r in rows) for k in range(3)]
     for k, share in enumerate((0.6, 0.3, 0.1)):
-        assert made[k] / sum(made) == pytest.approx(share, abs=0.01)
+        assert made[k] / sum(made) == pytest.approx(share, abs=0.01) and rows[0]["shares"][k] == pytest.approx(share, abs=0.01)
     assert all(r["rate"] >= 0 and abs(r["n_copies"] - r["rate"]) < 1 for r in rows)
     assert sum(made) == pytest.approx(sum(r["n_tokens"] for r in rows), rel=0.01)
     by = {r["id"]: r for r in rows}
     assert by[900]["n_tokens"] == 0 and by[903]["p"][0] > 0.9
 
 
+def test_domains_without_a_target_are_told_apart(tongues):
+    """``cc`` has labels and no target: its documents are not taken for the others', and a fifth never learned from is predicted."""
+    labels = tongues.where("doc_id % 5 <> 0").select("doc_id", F.col("lang").alias("domain"))
+    rows = mixing.mix(tongues, labels, {"aa": 1.0, "bb": 3.0}).collect()
+    truth = {r["doc_id"]: r["lang"] for r in tongues.collect()}
+    assert rows[0]["domains"] == ["aa", "bb", None]
+    unseen = [(r, truth[r["id"]]) for r in rows if r["id"] < 900 and r["id"] % 5 == 0]
+    assert sum(r["p"].index(max(r["p"])) == ("aa", "bb", "cc").index(t) for r, t in unseen) / len(unseen) > 0.95
+    made = {d: sum(r["n_tokens"] * r["rate"] for r in rows if truth[r["id"]] == d and r["id"] < 900) for d in ("aa", "bb", "cc")}
+    assert made["bb"] / made["aa"] == pytest.approx(3.0, rel=0.1) and made["cc"] < 0.05 * made["aa"]
+
+
 def test_mixing_without_labels_or_rows(tongues, empty_docs):
     none = tongues.select("doc_id", F.lit(None).cast("string").alias("domain"))
     assert {r["rate"] for r in mixing.mix(tongues, none, {"aa": 1.0}).collect()} == {1.0}
     assert mixing.mix(empty_docs, none, {"aa": 1.0}).isEmpty()
-    clash = tongues.withColumn("id", F.lit(3)).withColumn("rate", F.lit(7)).withColumn("p", F.lit("x"))
+    clash = tongues.withColumn("id", F.lit(3)).withColumn("rate", F.lit(7)).withColumn("p", F.lit("x")).withColumn("bin", F.lit(1))
     assert mixing.mix(clash, clash.select("doc_id", F.col("lang").alias("domain")), {"aa": 1.0, "bb": 1.0}, steps=3).count() == clash.count()
+    with pytest.raises(ValueError):
+        mixing.mix(tongues, none, {f"d{i}": 1.0 for i in range(mixing.MAX_DOMAINS + 1)})
+
+
+def test_mixing_takes_repeated_rows_and_very_long_texts(spark, tongues):
+    long = "lorema dolore " * 100_000
+    docs = tongues.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, long), (1, "lorema"), (1, "lorema"), (None, "szcza"), (None, "szcza")], "doc_id bigint, text string"))
+    rows = mixing.mix(docs, tongues.select("doc_id", F.col("lang").alias("domain")), {"aa": 1.0, "bb": 1.0, "cc": 1.0}).collect()
+    assert len(rows) == docs.count() and [r["n_tokens"] for r in rows if r["id"] == 5000] == [200_000]
+    assert len([r for r in rows if r["id"] is None]) == 2 and len({tuple(r["p"]) for r in rows if r["id"] is None}) == 1
