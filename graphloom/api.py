@@ -15,6 +15,7 @@ from . import schemas as S
 from .functions.paths import module_of
 from .operators import calls, components, flow, history, impact, overview, search, structure
 from .plans import index
+from .session import materialize
 from .sources import repository
 
 
@@ -49,6 +50,19 @@ class Repository:
     def _pairs(self) -> DataFrame:
         return structure.file_edges(self.at.imports, self.at.files)
 
+    def _texts(self) -> DataFrame:
+        """(path, lang, text) of the checkout's indexed files as they are now."""
+        found = repository.discover(self.spark, self.root).where("skip_reason is null").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+        return found.join(self.at.files.select("path", "lang"), "path")
+
+    def _history(self, days: int) -> tuple[DataFrame, DataFrame] | None:
+        """(commits, (commit_id, file_id)) of the last days; None without a git history."""
+        if not repository.is_git(self.root):
+            return None
+        log = materialize(repository.git_log(self.spark, self.root, days), "log")
+        commits = log.select("commit_id", "author", "log_ordinal", "committed_at", "subject").distinct()
+        return commits, log.where("path is not null").select("commit_id", index.file_id("path").alias("file_id")).distinct()
+
     def _manifest(self) -> tuple[str, ...]:
         try:
             with open(f"{self.root}/package.json") as f:
@@ -77,9 +91,7 @@ class Repository:
     def search_code(self, query: str, kind: str | None = None, lang: str | None = None, path: str | None = None, limit: int = 50) -> dict:
         """Places of symbols and text lines that match, exact symbol names first; a symbol kind leaves text out."""
         S.within("limit", limit, S.LIMIT)
-        found = repository.discover(self.spark, self.root).where("skip_reason is null").select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-        texts = found.join(self.at.files.select("path", "lang"), "path")
-        rows = [r.asDict() for r in search.search_code(self.hits, texts, query, limit, kind=kind, path=path, lang=lang).collect()]
+        rows = [r.asDict() for r in search.search_code(self.hits, self._texts(), query, limit, kind=kind, path=path, lang=lang).collect()]
         total = rows[0].pop("total") if rows else 0
         for r in rows[1:]:
             r.pop("total")
@@ -224,12 +236,10 @@ class Repository:
         a, links = self.at, self._links(True)
         cyclic = components.strong_components(links.where("src <> dst")).select(F.col("node").alias("file_id"))
         notes, past, hidden, totals = [], None, [], {"total_commits": 0, "skipped_large_commits": 0}
-        available = repository.is_git(self.root)
+        log = self._history(window_days)
         cut_hidden = None
-        if available:
-            log = repository.git_log(self.spark, self.root, window_days)
-            commits = log.select("commit_id", "author", F.col("log_ordinal"), F.col("committed_at"), "subject").distinct()
-            touched = log.where("path is not null").select("commit_id", index.file_id("path").alias("file_id")).distinct()
+        if log is not None:
+            commits, touched = log
             past = history.churn(commits, touched).select("file_id", "commits", "bug_fixes")
             totals = history.commit_totals(commits, touched).first().asDict()
             known = touched.join(a.files.select(F.col("id").alias("file_id")), "file_id", "left_semi")
@@ -244,7 +254,7 @@ class Repository:
         if a.files.where("loc > 0").isEmpty():
             notes.append("every indexed file has 0 lines of code")
         rows, cut = capped(history.hotspots(a.files, a.symbols, links, cyclic, past).orderBy(F.desc("score"), "path"), limit)
-        result = {"hotspots": rows, "gitAvailable": available, "totalCommits": totals["total_commits"], "skippedLargeCommits": totals["skipped_large_commits"], "hiddenCoupling": hidden, "notes": notes}
+        result = {"hotspots": rows, "gitAvailable": log is not None, "totalCommits": totals["total_commits"], "skippedLargeCommits": totals["skipped_large_commits"], "hiddenCoupling": hidden, "notes": notes}
         return self.envelope(result, {k: v for k, v in (("hotspots", cut), ("hiddenCoupling", cut_hidden)) if v} or None)
 
 

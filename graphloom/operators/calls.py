@@ -40,9 +40,9 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, file
     site = calls.select("id", "file_id", "name")
     local = site.join(names.withColumnRenamed("dst_file_id", "file_id"), ["file_id", "name"]).select("id", F.col("file_id").alias("dst_file_id"), "dst_symbol_id")
     foreign = site.join(local.select("id"), "id", "left_anti")
-    exports = names.where("exported").select("dst_symbol_id", "dst_file_id", "name")
-    visible = import_targets(imports, files).join(exports.withColumnRenamed("dst_file_id", "target"), "target")
-    by_import = foreign.join(visible, ["file_id", "name"]).select("id", F.col("target").alias("dst_file_id"), "dst_symbol_id")
+    exports = names.where("exported").select("dst_symbol_id", F.col("dst_file_id").alias("target"), "name")
+    # Sites meet targets before exports, so that only exports of a called name are met.
+    by_import = foreign.join(import_targets(imports, files), "file_id").join(exports, ["target", "name"]).select("id", F.col("target").alias("dst_file_id"), "dst_symbol_id")
     package = files.where(F.col("lang").isin(*PACKAGE_LANGS)).select("id", "lang", module_of("path").alias("module"))
     inside = names.join(package.withColumnRenamed("id", "dst_file_id"), "dst_file_id").select("dst_symbol_id", "dst_file_id", "name", "lang", "module")
     near = foreign.join(package.withColumnRenamed("id", "file_id"), "file_id").join(inside, ["lang", "module", "name"]).where("dst_file_id <> file_id")

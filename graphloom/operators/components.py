@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.paths import module_of
 from ..session import materialize
 
-#: Up to so many edges one task runs the linear algorithm; more are trimmed first, and if still too many, rounds of joins do it.
+#: Up to so many edges one task runs the linear algorithm; more are trimmed and their paths shortened until that holds,
+#: and only a core without paths that is still too large goes through rounds of joins, as many as its diameter.
 ONE_TASK_EDGES = 200_000
 
 
@@ -71,13 +72,45 @@ def trim(edges: DataFrame, rounds: int = 8) -> DataFrame:
     return edges
 
 
-def strong_components(edges: DataFrame, *, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
-    """(node, component) of the nodes on cycles of two and more; the label is the least member.
+def _through(edges: DataFrame) -> DataFrame:
+    """(node, prv, nxt) of the nodes with one way in and one way out."""
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("nxt")).where("n = 1").drop("n")
+    into = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("prv")).where("n = 1").drop("n")
+    return out.join(into, "node").select("node", "prv", "nxt")
 
-    ``edges`` has (src, dst), without self-edges.
+
+def compress(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(shorter edges, hanging (node, head, tail), rings (node, component)), or None where no path can be shortened.
+
+    Every path of nodes with one way in and one way out becomes one edge from
+    its head to its tail; its nodes hang on that edge.  A ring of nothing but
+    such nodes is a component by itself.  The ends are found by pointer
+    doubling, in rounds that grow with the logarithm of the longest path.
     """
-    core = materialize(edges.select("src", "dst").distinct(), "scc")
-    kind = core.schema["src"].dataType.simpleString()
+    chain = materialize(_through(edges).withColumn("least", F.col("node")), "scc-chain")
+    size = chain.count()
+    if not size:
+        return None
+    path = chain
+    for _ in range(size.bit_length() + 1):
+        ahead = path.select(F.col("node").alias("nxt"), F.col("nxt").alias("n2"), F.col("least").alias("l2"))
+        behind = path.select(F.col("node").alias("prv"), F.col("prv").alias("p2"))
+        both = path.join(ahead, "nxt", "left").join(behind, "prv", "left")
+        path = materialize(both.select("node", F.coalesce("p2", "prv").alias("prv"), F.coalesce("n2", "nxt").alias("nxt"), F.least("least", F.coalesce("l2", "least")).alias("least"), (F.col("n2").isNotNull() | F.col("p2").isNotNull()).alias("open")), "scc-chain")
+        if path.where("open").isEmpty():
+            break
+        path = path.drop("open")
+    names = chain.select(F.col("node").alias("nxt"))
+    rings = path.join(names, "nxt", "left_semi").select("node", F.col("least").alias("component"))
+    hanging = materialize(path.join(names, "nxt", "left_anti").select("node", F.col("prv").alias("head"), F.col("nxt").alias("tail")), "scc-hanging")
+    inner = chain.select("node")
+    rest = edges.join(inner.toDF("src"), "src", "left_anti").join(inner.toDF("dst"), "dst", "left_anti").select("src", "dst")
+    shorter = rest.unionByName(hanging.select(F.col("head").alias("src"), F.col("tail").alias("dst"))).distinct()
+    return materialize(shorter, "scc-shorter"), hanging, materialize(rings, "scc-rings")
+
+
+def _components(core: DataFrame, kind: str, one_task_edges: int) -> DataFrame:
+    """(node, component) of nodes on cycles; ``core`` has distinct edges and may have self-edges."""
     many = core.count()
     if many > one_task_edges:
         core = trim(core)
@@ -90,11 +123,31 @@ def strong_components(edges: DataFrame, *, one_task_edges: int = ONE_TASK_EDGES)
                 label = tarjan(rows)
                 yield pd.DataFrame({"node": list(label), "component": list(label.values())})
 
-        found = core.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
-    else:
-        found = _by_colouring(core, kind)
-    sizes = W.partitionBy("component")
-    return found.withColumn("n", F.count(F.lit(1)).over(sizes)).where("n > 1").drop("n")
+        return core.coalesce(1).mapInPandas(run, f"node {kind}, component {kind}")
+    loops = core.where("src = dst").select(F.col("src").alias("node"))
+    short = compress(core.where("src <> dst"))
+    if short is None:
+        return _by_colouring(core.where("src <> dst"), kind)
+    edges, hanging, rings = short
+    found = materialize(_components(edges, kind, one_task_edges), "scc-inner")
+    ends = found.unionByName(loops.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    own = hanging.where("head = tail").select(F.col("head").alias("node"), F.col("head").alias("component"))
+    ends = materialize(ends.unionByName(own).groupBy("node").agg(F.min("component").alias("component")), "scc-ends")
+    met = hanging.join(ends.toDF("head", "ch"), "head").join(ends.toDF("tail", "ct"), "tail").where("ch = ct").select("node", F.col("ch").alias("component"))
+    every = materialize(ends.unionByName(met).distinct(), "scc-every")
+    least = every.groupBy("component").agg(F.min("node").alias("least"))
+    return every.join(least, "component").select("node", F.col("least").alias("component")).unionByName(rings)
+
+
+def strong_components(edges: DataFrame, *, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
+    """(node, component) of the nodes on cycles of two and more; the label is the least member.
+
+    ``edges`` has (src, dst), without self-edges.
+    """
+    core = materialize(edges.select("src", "dst").distinct(), "scc")
+    found = _components(core, core.schema["src"].dataType.simpleString(), one_task_edges)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return found.join(sizes, "component", "left_semi").select("node", "component")
 
 
 def _by_colouring(edges: DataFrame, kind: str) -> DataFrame:
@@ -104,7 +157,7 @@ def _by_colouring(edges: DataFrame, kind: str) -> DataFrame:
     while not edges.isEmpty():
         nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
         colour = materialize(nodes.withColumn("colour", F.col("node")), "scc-colour")
-        while True:
+        while True:  # labels only grow, so this ends; without paths to walk it takes few rounds
             pushed = edges.join(colour.toDF("src", "c"), "src").groupBy("dst").agg(F.max("c").alias("c"))
             fresh = materialize(colour.join(pushed, colour.node == pushed.dst, "left").select("node", F.greatest("colour", F.coalesce("c", "colour")).alias("colour")), "scc-colour")
             moved = fresh.join(colour.toDF("node", "old"), "node").where("colour <> old").isEmpty()
@@ -138,9 +191,14 @@ def cycle_hops(members: DataFrame, module_graph: DataFrame, edges: DataFrame, ex
     """(component, f, t, n_pairs, via_from, via_to): file pairs behind each module edge inside a cycle."""
     inner = module_graph.join(members.toDF("f", "component"), "f").join(members.toDF("t", "ct"), "t").where("component = ct").select("component", "f", "t")
     pairs = edges.select("a", "b", module_of("a").alias("f"), module_of("b").alias("t")).join(inner, ["f", "t"])
-    hop = W.partitionBy("f", "t")
-    ranked = pairs.withColumn("n_pairs", F.count(F.lit(1)).over(hop)).withColumn("rank", F.row_number().over(hop.orderBy("a", "b")))
-    return ranked.where(F.col("rank") <= examples).select("component", "f", "t", "n_pairs", "rank", F.col("a").alias("via_from"), F.col("b").alias("via_to"))
+    # Two levels, so that a pair of modules with very many file pairs never meets in one task: each part keeps its first examples.
+    part = pairs.withColumn("_part", F.pmod(F.xxhash64("a", "b"), F.lit(64)))
+    kept = W.partitionBy("component", "f", "t", "_part").orderBy("a", "b")
+    some = part.withColumn("rank", F.row_number().over(kept)).where(F.col("rank") <= examples)
+    first = W.partitionBy("component", "f", "t").orderBy("a", "b")
+    ranked = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= examples)
+    counts = pairs.groupBy("component", "f", "t").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return ranked.join(counts, ["component", "f", "t"]).select("component", "f", "t", "n_pairs", "rank", F.col("a").alias("via_from"), F.col("b").alias("via_to"))
 
 
 def artifacts(members: DataFrame, file_members: DataFrame, self_importers: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 SNIPPET = 200
 
 
@@ -81,7 +83,7 @@ def search_code(hits: DataFrame, texts: DataFrame, query: str, limit: int, *, ki
         out = out.unionByName(text.select("path", "line", F.lit("text").alias("kind"), F.lit(None).cast("string").alias("symbol_name"), "snippet", F.lit(20).alias("score"), F.lit(0).alias("_len"), F.lit(0).cast("bigint").alias("_id")))
     place = W.partitionBy("path", "line").orderBy(F.desc("score"), "_len", "symbol_name", "_id")
     first = out.withColumn("_rank", F.row_number().over(place)).where("_rank = 1").drop("_rank", "_len", "_id")
-    return with_total(first).orderBy(F.desc("score"), "path", "line").limit(limit)
+    return with_total(materialize(first, "hits")).orderBy(F.desc("score"), "path", "line").limit(limit)
 
 
 def callers_and_callees(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ edges as (select c.id, coalesce(r.ordinal,1) as ordinal, c.file_id as src_file_i
 wcommits as (select * from commits where committed_at >= (select max(committed_at) from commits) - interval 730 day),
 sizes as (select commit_id, count(*) as n from commit_files group by commit_id),
 pairs as (select x.file_id as a, y.file_id as b, count(*) as commits from commit_files x join commit_files y on x.commit_id=y.commit_id and x.file_id<y.file_id
-  where x.commit_id in (select commit_id from sizes where n<=10) and x.commit_id in (select commit_id from commits) group by 1,2 having count(*)>=2)
+  where x.commit_id in (select commit_id from sizes where n<=50) and x.commit_id in (select commit_id from commits) group by 1,2 having count(*)>=2)
 """
 )
 
@@ -53,30 +53,40 @@ scc as (select x.a as node, min(x.b) as component from rc x join rc y on x.a=y.b
 comp as (select node, component from scc where component in (select component from scc group by component having count(*)>1))"""
 
 
-def _bfs(a: str, b: str) -> str:
+def bfs_sql(a: str, b: str, start: str = "id=30", depth: int = 4) -> str:
     return f""",
-rb(node, depth) as (select cast(30 as bigint), 0 union select l.{b}, rb.depth+1 from rb join flinks l on l.{a}=rb.node where rb.depth<4),
+rb(node, depth) as (select id, 0 from files where {start} union select l.{b}, rb.depth+1 from rb join flinks l on l.{a}=rb.node where rb.depth<{depth}),
 reach as (select node, min(depth) as depth from rb group by node)"""
 
 
-def _walk(start: str, near: str, far: str, extra: str = "") -> str:
+def walk_sql(start: str, near: str, far: str, extra: str = "", depth: int = 3) -> str:
     return f""",
 ue as (select * from edges where 1=1 {extra}),
-rw(node, depth) as (select id, 0 from symbols where {start} union select e.{far}, rw.depth+1 from rw join ue e on e.{near}=rw.node where e.{far} is not null and rw.depth<2),
+rw(node, depth) as (select id, 0 from symbols where {start} union select e.{far}, rw.depth+1 from rw join ue e on e.{near}=rw.node where e.{far} is not null and rw.depth<{depth - 1}),
 first as (select node, min(depth) as depth from rw group by node),
 walk as (select e.*, f.depth+1 as depth from ue e join first f on f.node=e.{near})"""
 
 
-_IMPACT = (
-    _walk("name='sym_8'", "dst_symbol_id", "src_symbol_id")
+IMPACT = (
+    walk_sql("name='sym_8'", "dst_symbol_id", "src_symbol_id")
     + """,
 refs as (select path, line, confidence from (select f.path, w.line, w.confidence, row_number() over (partition by f.path, w.line order by w.depth, w.id, w.ordinal) as k
   from walk w join files f on f.id=w.src_file_id) where k=1)"""
 )
 
-_FIX = "regexp_matches(subject, '^(fix|bugfix|hotfix|patch)([(:! ]|$)', 'i')"
-_MODULE_CYCLES = _closure("me", "f", "t")
-_FILE_CYCLES = _closure("fe", "a", "b")
+FIX = "regexp_matches(subject, '^(fix|bugfix|hotfix|patch)([(:! ]|$)', 'i')"
+_FILE_NAMED = _closure("fe", "a", "b").replace("rc", "frc").replace("scc as", "fscc as").replace("from scc", "from fscc").replace("comp as", "fcomp as")
+MODULE_CYCLES = _closure("me", "f", "t") + _FILE_NAMED
+FILE_CYCLES = _closure("fe", "a", "b")
+#: Modules of files on a cycle of files or that import themselves.
+FILE_MEMBERS = f"select {module('path')} from files where path in (select node from fcomp) or id in (select src from links where src=dst)"
+
+HOTSPOT_ROWS = f"""select path, loc, symbols, fan_in, fan_out, in_cycle, commits, bug_fixes,
+ floor((cast(0.4 as double)*loc/greatest(1,max(loc) over ()) + cast(0.4 as double)*(fan_in+fan_out)/greatest(1,max(fan_in+fan_out) over ()) + cast(0.2 as double)*in_cycle)
+  * (cast(0.6 as double)*commits/greatest(1,max(commits) over ()) + cast(0.4 as double)*bug_fixes/greatest(1,max(bug_fixes) over ()))*10000+cast(0.5 as double))/cast(10000 as double) as score from (
+ select f.path, f.loc, (select count(*) from symbols s where s.file_id=f.id) as symbols, (select count(*) from links l where l.dst=f.id) as fan_in,
+  (select count(*) from flinks l where l.src=f.id) as fan_out, cast(case when f.path in (select node from comp) then 1 else 0 end as int) as in_cycle, coalesce(h.commits,0) as commits, coalesce(h.fixes,0) as bug_fixes
+ from files f left join (select cf.file_id, count(*) as commits, count(*) filter (where {FIX}) as fixes from commit_files cf join commits c on c.commit_id=cf.commit_id group by 1) h on h.file_id=f.id)"""
 
 ORACLES: dict[str, str] = {
     "coupling": sql(
@@ -106,33 +116,22 @@ ORACLES: dict[str, str] = {
     "edge_details": sql("select e.id, e.ordinal, sf.path as src_path, ss.name as src_name, df.path as dst_path, ds.name as dst_symbol_name, e.dst_name, e.kind, e.confidence, e.line from edges e join files sf on sf.id=e.src_file_id left join symbols ss on ss.id=e.src_symbol_id left join files df on df.id=e.dst_file_id left join symbols ds on ds.id=e.dst_symbol_id"),
     "same_package_pairs": sql("select a.id as src, b.id as dst from fm a join fm b on a.lang=b.lang and a.module=b.module and a.id<>b.id where a.lang in ('go','java')"),
     "import_targets": sql("select file_id, target from targets"),
-    "deps_out": sql("select f.path, cast(r.depth as int) as depth from reach r join files f on f.id=r.node where r.depth>0", _bfs("src", "dst")),
-    "deps_in": sql("select f.path, cast(r.depth as int) as depth from reach r join files f on f.id=r.node where r.depth>0", _bfs("dst", "src")),
-    "symbol_walk": sql("select id, ordinal, dst_name, confidence, cast(depth as int) as depth from walk", _walk("name='sym_8' and file_id<40", "src_symbol_id", "dst_symbol_id")),
-    "symbol_walk_filtered": sql("select id, ordinal, dst_name, confidence, cast(depth as int) as depth from walk", _walk("name='sym_8'", "src_symbol_id", "dst_symbol_id", "and kind='calls' and confidence in ('heuristic','resolved','exact')")),
-    "impact_buckets": sql("select count(*) as total, count(*) filter (where confidence='exact') as verified, count(*) filter (where confidence in ('heuristic','resolved')) as likely, count(*) filter (where confidence in ('ambiguous','unresolved')) as ambiguous from refs", _IMPACT),
-    "impact_by_module": sql(f"select {module('path')} as module, count(*) as count from refs group by 1", _IMPACT),
-    "file_cycles": sql("select string_agg(node, ',' order by node) as members, count(*) as size, max(w) as internal_edges from comp join (select x.component as k, count(*) as w from fe join comp x on x.node=a join comp y on y.node=b where x.component=y.component group by 1) on k=component group by component", _FILE_CYCLES),
-    "module_cycles": sql("select string_agg(node, ',' order by node) as members, count(*) as size, max(w) as internal_edges from comp join (select x.component as k, cast(sum(w) as bigint) as w from me join comp x on x.node=f join comp y on y.node=t where x.component=y.component group by 1) on k=component group by component", _MODULE_CYCLES),
-    "cycle_hops": sql(f"select f, t, n_pairs, via_from, via_to from (select p.f, p.t, count(*) over (partition by p.f, p.t) as n_pairs, row_number() over (partition by p.f, p.t order by a, b) as k, a as via_from, b as via_to from (select a, b, {module('a')} as f, {module('b')} as t from fe) p join comp x on x.node=p.f join comp y on y.node=p.t where x.component=y.component and p.f<>p.t) where k<=3", _MODULE_CYCLES),
-    "cycle_artifact": sql(
-        f"select m.component, not bool_or(m.node in (select {module('path')} from files where path in (select node from fcomp) or id in (select src from links where src=dst))) as aggregation_artifact from comp m group by m.component",
-        _MODULE_CYCLES + _closure("fe", "a", "b").replace("rc", "frc").replace("scc as", "fscc as").replace("from scc", "from fscc").replace("comp as", "fcomp as"),
-    ),
-    "churn": sql(f"select cf.file_id, count(*) as commits, count(distinct author) as authors, count(*) filter (where {_FIX}) as bug_fixes, arg_max(committed_at, (committed_at, c.commit_id)) as last_commit_at from commit_files cf join wcommits c on c.commit_id=cf.commit_id group by cf.file_id"),
-    "bug_fix_commits": sql(f"select commit_id, subject from commits where {_FIX}"),
+    "deps_out": sql("select f.path, cast(r.depth as int) as depth from reach r join files f on f.id=r.node where r.depth>0", bfs_sql("src", "dst")),
+    "deps_in": sql("select f.path, cast(r.depth as int) as depth from reach r join files f on f.id=r.node where r.depth>0", bfs_sql("dst", "src")),
+    "symbol_walk": sql("select id, ordinal, dst_name, confidence, cast(depth as int) as depth from walk", walk_sql("name='sym_8'", "src_symbol_id", "dst_symbol_id")),
+    "symbol_walk_filtered": sql("select id, ordinal, dst_name, confidence, cast(depth as int) as depth from walk", walk_sql("name='sym_8'", "src_symbol_id", "dst_symbol_id", "and kind='calls' and confidence in ('heuristic','resolved','exact')")),
+    "impact_buckets": sql("select count(*) as total, count(*) filter (where confidence='exact') as verified, count(*) filter (where confidence in ('heuristic','resolved')) as likely, count(*) filter (where confidence in ('ambiguous','unresolved')) as ambiguous from refs", IMPACT),
+    "impact_by_module": sql(f"select {module('path')} as module, count(*) as count from refs group by 1", IMPACT),
+    "file_cycles": sql("select string_agg(node, ',' order by node) as members, count(*) as size, max(w) as internal_edges from comp join (select x.component as k, count(*) as w from fe join comp x on x.node=a join comp y on y.node=b where x.component=y.component group by 1) on k=component group by component", FILE_CYCLES),
+    "module_cycles": sql("select string_agg(node, ',' order by node) as members, count(*) as size, max(w) as internal_edges from comp join (select x.component as k, cast(sum(w) as bigint) as w from me join comp x on x.node=f join comp y on y.node=t where x.component=y.component group by 1) on k=component group by component", MODULE_CYCLES),
+    "cycle_hops": sql(f"select f, t, n_pairs, via_from, via_to from (select p.f, p.t, count(*) over (partition by p.f, p.t) as n_pairs, row_number() over (partition by p.f, p.t order by a, b) as k, a as via_from, b as via_to from (select a, b, {module('a')} as f, {module('b')} as t from fe) p join comp x on x.node=p.f join comp y on y.node=p.t where x.component=y.component and p.f<>p.t) where k<=3", MODULE_CYCLES),
+    "cycle_artifact": sql(f"select m.component, not bool_or(m.node in ({FILE_MEMBERS})) as aggregation_artifact from comp m group by m.component", MODULE_CYCLES),
+    "churn": sql(f"select cf.file_id, count(*) as commits, count(distinct author) as authors, count(*) filter (where {FIX}) as bug_fixes, arg_max(committed_at, (committed_at, c.commit_id)) as last_commit_at from commit_files cf join wcommits c on c.commit_id=cf.commit_id group by cf.file_id"),
+    "bug_fix_commits": sql(f"select commit_id, subject from commits where {FIX}"),
     "commit_totals": sql("select count(*) as total_commits, count(*) filter (where n>6) as skipped_large_commits from commits c left join sizes s on s.commit_id=c.commit_id"),
     "co_change": sql("select a, b, commits from pairs"),
     "hidden_coupling": sql("select a, b, commits from pairs p where not exists (select 1 from flinks l where (l.src=p.a and l.dst=p.b) or (l.src=p.b and l.dst=p.a)) and not exists (select 1 from flinks x join flinks y on y.src=x.dst where (x.src=p.a and y.dst=p.b) or (x.src=p.b and y.dst=p.a))"),
-    "hotspots": sql(
-        f"""select path, loc, symbols, fan_in, fan_out, in_cycle, commits, bug_fixes,
- floor((cast(0.4 as double)*loc/greatest(1,max(loc) over ()) + cast(0.4 as double)*(fan_in+fan_out)/greatest(1,max(fan_in+fan_out) over ()) + cast(0.2 as double)*in_cycle)
-  * (cast(0.6 as double)*commits/greatest(1,max(commits) over ()) + cast(0.4 as double)*bug_fixes/greatest(1,max(bug_fixes) over ()))*10000+cast(0.5 as double))/cast(10000 as double) as score from (
- select f.path, f.loc, (select count(*) from symbols s where s.file_id=f.id) as symbols, (select count(*) from links l where l.dst=f.id) as fan_in,
-  (select count(*) from flinks l where l.src=f.id) as fan_out, cast(case when f.path in (select node from comp) then 1 else 0 end as int) as in_cycle, coalesce(h.commits,0) as commits, coalesce(h.fixes,0) as bug_fixes
- from files f left join (select cf.file_id, count(*) as commits, count(*) filter (where {_FIX}) as fixes from commit_files cf join commits c on c.commit_id=cf.commit_id group by 1) h on h.file_id=f.id)""",
-        _FILE_CYCLES,
-    ),
+    "hotspots": sql(HOTSPOT_ROWS, FILE_CYCLES),
     "text_search": "select path, line, left(regexp_replace(content,'^\\s+|\\s+$','','g'),200) as snippet from (select source||'/doc_'||cast(doc_id as varchar)||'.txt' as path, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)),1) as line from documents) where contains(lower(content),'licensed under')",
     "code_search": sql(
         """select path, line, kind, symbol_name, snippet, score, count(*) over () as total from (
@@ -158,6 +157,11 @@ ORACLES |= {
     ),
     "resolve_python": sql(f"select f.id, case when f.id%5=0 then 'os.path' else replace(regexp_replace(t.path,'[.]py$',''),'/','.')||case when f.id%2=0 then '' else '.Item' end end as specifier, case when f.id%5=0 then null else t.path end as resolved, case when f.id%5=0 then 'unresolved' else 'resolved' end as confidence {_NEXT} where f.lang='python'"),
     "resolve_java": sql(f"select f.id, replace(regexp_replace(regexp_replace(t.path,'^[^/]*/',''),'[.]java$',''),'/','.')||case when f.id%5=0 then '.*' else '' end as specifier, case when f.id%5=0 then null else t.path end as resolved, case when f.id%5=0 then 'unresolved' else 'resolved' end as confidence {_NEXT} where f.lang='java'"),
+    "resolve_rust": sql(
+        f"""select id, specifier, case when inside then path end as resolved, case when inside then 'resolved' else 'unresolved' end as confidence from (
+ select f.id, t.path, f.id%5>1 and {_F}={_T} as inside, case f.id%5 when 0 then 'std::fmt::Debug' when 1 then 'crate::a::b' else 'super::'||regexp_replace(regexp_extract(t.path,'[^/]*$'),'[.]rs$','')||case f.id%5 when 3 then '::*' when 4 then '::Item' else '' end end as specifier
+ {_NEXT} where f.lang='rust')"""
+    ),
     "resolve_go": sql(f"select f.id, case when f.id%5=0 then 'fmt' else 'example.com/m/'||{_T} end as specifier, case when f.id%5=0 then null else (select min(g.path) from fm g where g.lang='go' and g.module={_T}) end as resolved, case when f.id%5=0 then 'unresolved' else 'resolved' end as confidence {_NEXT} where f.lang='go'"),
 }
 
@@ -182,5 +186,6 @@ ORACLES |= {
     "path_functions": sql(f"select f.path, case when {_PARENT}='' then '' else {_PARENT}||'/' end||'x/'||regexp_extract(f.path,'[^/]*$') as folded, cast(case when f.path like 'pkg1/m1/%' then 2 when f.path like 'pkg1/%' then 1 else 0 end as bigint) as shared from files f"),
     "manifest_values": "select event_id, cast(json_extract_string(props,'$.k') as bigint) as k from events",
     "truncation_totals": sql("select id, name, count(*) over () as total from symbols where exported order by id limit 25"),
+    "streaming_churn": "select date_trunc('hour', ts) as start, event_type, count(*) as events, count(distinct user_id) as users from events group by 1,2",
     "windowed_churn": "select date_trunc('hour', ts) as start, event_type, count(*) as events, count(distinct user_id) as users from events group by 1,2",
 }

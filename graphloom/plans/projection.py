@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .stored import stored
+
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 _PKG = "'pkg'||cast(cast(floor(p_partkey/100) as bigint) as string)"
 
@@ -23,13 +25,14 @@ select p_partkey as id,
  cast(p_size*10 as int) as loc, cast(case when p_partkey%97=0 then 1 else 0 end as int) as error_count
 from {{part}}"""
 
+# Every line item is an import and a call site.  Most imports are of packages outside the repository, as in real ones.
 IMPORTS = f"""
 select l_partkey*100000 + row_number() over (partition by l_partkey order by {_ORDER}) as id, l_partkey as file_id,
- case when l_linestatus='O' then null
+ case when l_linestatus='O' or l_discount>0.03 or l_quantity>=13 then null
       when l_linenumber=1 then (l_partkey+n-1-(l_suppkey%40))%n
       else (l_partkey+1+(l_suppkey%60))%n end as resolved_file_id,
- case when l_linestatus='O' then 'unresolved' else 'resolved' end as confidence, cast(l_linenumber as int) as line
-from {{lineitem}} cross join (select count(*) as n from {{part}}) where l_discount<=0.03 and l_quantity<13"""
+ case when l_linestatus='O' or l_discount>0.03 or l_quantity>=13 then 'unresolved' else 'resolved' end as confidence, cast(l_linenumber as int) as line
+from {{lineitem}} cross join (select count(*) as n from {{part}})"""
 
 SYMBOLS = """
 select p_partkey*10+k as id, p_partkey as file_id, 'sym_'||cast((p_partkey*5+k*3)%40 as string) as name,
@@ -43,7 +46,7 @@ select l_partkey*100000 + row_number() over (partition by l_partkey order by {_O
  'sym_'||cast((l_partkey*5+l_suppkey*3+l_linenumber)%48 as string) as name,
  'sym_'||cast((l_partkey*5+(l_linenumber%3)*3)%40 as string) as enclosing,
  case when l_linenumber%5=0 then 'instantiates' else 'calls' end as kind, cast(l_linenumber as int) as line
-from {{lineitem}} where l_returnflag='R'"""
+from {{lineitem}}"""
 
 COMMITS = """
 select o_orderkey as commit_id, o_custkey as author, o_orderdate as committed_at,
@@ -74,11 +77,21 @@ class Graph:
     calls: DataFrame
     commits: DataFrame
     commit_files: DataFrame
+    folder: str
+
+
+#: Tables whose numbering needs a shuffle; they are written once (see ``stored``).
+NUMBERED = ("imports", "calls")
 
 
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     sources = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCES}
-    return Graph(**{name: spark.sql(text, **{t: df for t, df in sources.items() if "{" + t + "}" in text}) for name, text in TABLES.items()})
+
+    def table(name: str) -> DataFrame:
+        text = TABLES[name]
+        return spark.sql(text, **{t: df for t, df in sources.items() if "{" + t + "}" in text})
+
+    return Graph(**{name: stored(spark, sf_dir, name, lambda name=name: table(name)) if name in NUMBERED else table(name) for name in TABLES}, folder=sf_dir)
 
 
 def oracle_tables() -> str:

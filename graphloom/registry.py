@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from .functions.paths import module_of
 from .functions.scores import is_bug_fix
 from .operators import calls, components, flow, history, impact, overview, search, structure
-from .plans.oracle import ORACLES
+from .plans.oracle import FILE_CYCLES, ORACLES
 from .plans.projection import Graph, project
+from .plans.stored import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,12 +27,24 @@ def query(f: Callable[[Graph], DataFrame]) -> Callable[[Graph], DataFrame]:
     return f
 
 
+def _stored(g: Graph, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return stored(g.files.sparkSession, g.folder, name, build)
+
+
 def _edges(g: Graph) -> DataFrame:
-    return calls.resolve_calls(g.calls, g.symbols, g.imports, g.files)
+    return _stored(g, "edges", lambda: calls.resolve_calls(g.calls, g.symbols, g.imports, g.files))
+
+
+def _details(g: Graph) -> DataFrame:
+    return _stored(g, "details", lambda: calls.edge_details(_edges(g), g.files, g.symbols))
 
 
 def _pairs(g: Graph) -> DataFrame:
-    return structure.file_edges(g.imports, g.files)
+    return _stored(g, "pairs", lambda: structure.file_edges(g.imports, g.files))
+
+
+def _links(g: Graph) -> DataFrame:
+    return _pairs(g).select("src", "dst")
 
 
 def _hits(g: Graph) -> DataFrame:
@@ -138,8 +151,7 @@ def call_edges(g: Graph) -> DataFrame:
 
 @query
 def edge_details(g: Graph) -> DataFrame:
-    d = calls.edge_details(_edges(g), g.files, g.symbols)
-    return d.select("id", "ordinal", "src_path", "src_name", "dst_path", "dst_symbol_name", "dst_name", "kind", "confidence", "line")
+    return _details(g).select("id", "ordinal", "src_path", "src_name", "dst_path", "dst_symbol_name", "dst_name", "kind", "confidence", "line")
 
 
 @query
@@ -157,7 +169,7 @@ def _start_file(g: Graph) -> DataFrame:
 
 
 def _reached(g: Graph, direction: str) -> DataFrame:
-    found, _ = structure.bfs(structure.file_links(g.imports, g.files), _start_file(g), 4, direction)
+    found, _ = structure.bfs(_links(g), _start_file(g), 4, direction)
     return found.join(g.files.select(F.col("id").alias("node"), "path"), "node").select("path", "depth")
 
 
@@ -172,7 +184,7 @@ def deps_in(g: Graph) -> DataFrame:
 
 
 def _start_symbols(g: Graph) -> DataFrame:
-    return g.symbols.where("name = 'sym_8' and file_id < 40").select(F.col("id").alias("node"))
+    return g.symbols.where("name = 'sym_8'").select(F.col("id").alias("node"))
 
 
 @query
@@ -181,22 +193,14 @@ def symbol_walk(g: Graph) -> DataFrame:
     return found.select("id", "ordinal", "dst_name", "confidence", "depth")
 
 
-@query
-def symbol_walk_whole(g: Graph) -> DataFrame:
-    """The unfiltered walk from every symbol of the name; it has no SQL and is held to brute force."""
-    found, _ = structure.symbol_walk(_edges(g), g.symbols.where("name = 'sym_8'").select(F.col("id").alias("node")), 3, "out")
-    return found.select("id", "ordinal", "dst_name", "confidence", "depth")
-
-
 @query
 def symbol_walk_filtered(g: Graph) -> DataFrame:
-    found, _ = structure.symbol_walk(_edges(g), g.symbols.where("name = 'sym_8'").select(F.col("id").alias("node")), 3, "out", "calls", "heuristic")
+    found, _ = structure.symbol_walk(_edges(g), _start_symbols(g), 3, "out", "calls", "heuristic")
     return found.select("id", "ordinal", "dst_name", "confidence", "depth")
 
 
 def _references(g: Graph) -> DataFrame:
-    edges = _edges(g)
-    found, _ = structure.symbol_walk(edges, g.symbols.where("name = 'sym_8'").select(F.col("id").alias("node")), 3, "in")
+    found, _ = structure.symbol_walk(_edges(g), _start_symbols(g), 3, "in")
     return impact.references(found, g.files)
 
 
@@ -212,14 +216,13 @@ def impact_by_module(g: Graph) -> DataFrame:
 
 @query
 def flow_tree(g: Graph) -> DataFrame:
-    details = calls.edge_details(_edges(g), g.files, g.symbols)
-    tree = flow.trace_flow(_hits(g), details, "sym_8", max_depth=4, limit=50)
+    tree = flow.trace_flow(_hits(g), _details(g), "sym_8", max_depth=4, limit=50)
     rows = tree.rows if tree else []
     return g.files.sparkSession.createDataFrame(rows, flow.NODE)
 
 
 def _file_members(g: Graph) -> DataFrame:
-    found = components.strong_components(structure.file_links(g.imports, g.files))
+    found = components.strong_components(_links(g))
     return found.join(g.files.select(F.col("id").alias("node"), "path"), "node")
 
 
@@ -272,12 +275,12 @@ def commit_totals(g: Graph) -> DataFrame:
 
 @query
 def co_change(g: Graph) -> DataFrame:
-    return history.co_changes(g.commits, g.commit_files, large=10, support=2)
+    return history.co_changes(g.commits, g.commit_files, support=2)
 
 
 @query
 def hidden_coupling(g: Graph) -> DataFrame:
-    return history.hidden_coupling(history.co_changes(g.commits, g.commit_files, large=10, support=2), structure.file_links(g.imports, g.files))
+    return history.hidden_coupling(history.co_changes(g.commits, g.commit_files, support=2), _links(g))
 
 
 @query
@@ -309,10 +312,12 @@ QUERIES["code_search"] = code_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import registry_more
+    from . import registry_api, registry_more
 
-    return QUERIES | registry_more.QUERIES
+    return QUERIES | registry_more.QUERIES | registry_api.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in ORACLES.items() if name in queries()}
+    from . import registry_api
+
+    return {name: sql for name, sql in (ORACLES | registry_api.ORACLES).items() if name in queries()}

@@ -64,6 +64,15 @@ def resolve_go(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir, "go", spec, lambda rows, known: resolve.go(rows, known, "example.com/m"))
 
 
+@query
+def resolve_rust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``super`` paths to a module, everything in it and an item of it; ``crate`` without a root and other crates stay unresolved."""
+    stem = F.regexp_replace(basename("target"), r"\.rs$", "")
+    near = F.concat(F.lit("super::"), stem, F.when(F.col("id") % 5 == 3, F.lit("::*")).when(F.col("id") % 5 == 4, F.lit("::Item")).otherwise(F.lit("")))
+    spec = F.when(F.col("id") % 5 == 0, F.lit("std::fmt::Debug")).when(F.col("id") % 5 == 1, F.lit("crate::a::b")).otherwise(near)
+    return _resolved(spark, sf_dir, "rust", spec, resolve.rust)
+
+
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(files now, files before, all files): an edit of every 13th, additions and deletions."""
     files = project(spark, sf_dir).files

@@ -76,6 +76,59 @@ def test_strong_components_match_brute_force(spark, seed, one_task):
     assert got == brute_components(edges)
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_long_paths_are_shortened(spark, closed):
+    n = 20_000
+    edges = [(i, i + 1) for i in range(n)] + [(n, 0)] * closed
+    got = {r["node"]: r["component"] for r in components.strong_components(spark.createDataFrame(edges, "src bigint, dst bigint"), one_task_edges=0).collect()}
+    assert got == ({i: 0 for i in range(n + 1)} if closed else {})
+
+
+def test_paths_between_cycles_join_them_only_both_ways(spark):
+    """Paths that hang on a node, on two nodes of one component, or lead from one component to another."""
+    core = [(0, 1), (1, 2), (2, 0), (1, 0), (2, 1), (0, 2)]
+    edges = [*core, (0, 10), (10, 11), (11, 12), (12, 2), (1, 20), (20, 21), (21, 1), (2, 30), (30, 31), (31, 40), (40, 41), (41, 40), (50, 51), (51, 52), (52, 50)]
+    want = components.tarjan(edges)
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    got = {r["node"]: r["component"] for r in components.strong_components(spark.createDataFrame(edges, "src bigint, dst bigint"), one_task_edges=0).collect()}
+    assert got == {k: c for k, c in want.items() if sizes[c] > 1}
+
+
+def test_wide_walks_agree_with_narrow_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(110)], "src bigint, dst bigint")
+    start = spark.createDataFrame([(1,), (2,), (3,)], "node bigint")
+    want = None
+    for small in (10_000, 4, 1, 0):
+        found, limited = structure.bfs(links, start, 4, small=small)
+        got = (sorted((r["node"], r["depth"]) for r in found.collect()), limited)
+        want = want or got
+        assert got == want and len(got[0]) > 10
+
+
+def test_history_takes_the_first_record_of_the_log(spark):
+    commits = spark.createDataFrame([("a", 0, "x", "2024-01-01T23:30:00-05:00", "fix: it"), ("b", 1, "y", "2024-01-02T01:00:00+09:00", "more")], "commit_id string, log_ordinal bigint, author string, committed_at string, subject string")
+    files = spark.createDataFrame([("a", 1), ("b", 1)], "commit_id string, file_id bigint")
+    assert history.churn(commits, files).first()["last_commit_at"] == "2024-01-01T23:30:00-05:00"
+
+
+def test_large_commits_are_skipped(spark):
+    commits = spark.createDataFrame([("a",), ("b",)], "commit_id string")
+    files = spark.createDataFrame([("a", i) for i in range(51)] + [("b", 0), ("b", 1)], "commit_id string, file_id bigint")
+    assert [tuple(r) for r in history.co_changes(commits, files).collect()] == [(0, 1, 1)]
+    assert history.commit_totals(commits, files).first()["skipped_large_commits"] == 1
+
+
+def test_unlinked_edges_keep_their_confidence(spark):
+    from graphloom.operators import incremental
+
+    edges = spark.createDataFrame([(1, 5, 50, "heuristic"), (2, 6, 60, "ambiguous"), (3, None, None, "unresolved")], "id bigint, dst_file_id bigint, dst_symbol_id bigint, confidence string")
+    got = sorted(tuple(r) for r in incremental.unlink_targets(edges, spark.createDataFrame([(5,)], "id bigint")).collect())
+    assert got == [(1, None, None, "heuristic"), (2, 6, 60, "ambiguous"), (3, None, None, "unresolved")]
+
+
 def test_tarjan_survives_a_long_chain():
     n = 20_000
     label = components.tarjan([(i, i + 1) for i in range(n)] + [(n, n - 1)])
@@ -134,7 +187,7 @@ def test_symbol_walk_emits_every_edge_once_per_first_visit(spark):
     assert sorted((r["id"], r["depth"]) for r in found.collect()) == [(1, 1), (2, 2)]
 
 
-def test_symbol_walk_whole_starts_from_every_symbol_of_the_name(spark):
+def test_symbol_walk_starts_from_every_symbol_of_the_name(spark):
     from collections import Counter
 
     from graphloom import registry
@@ -151,7 +204,7 @@ def test_symbol_walk_whole_starts_from_every_symbol_of_the_name(spark):
         depth |= dict.fromkeys(level, d)
     want = Counter((e["id"], e["ordinal"], e["dst_name"], e["confidence"], depth[e["src_symbol_id"]] + 1) for e in edges if e["src_symbol_id"] in depth)
     assert {"ambiguous"} <= {e["confidence"] for e in edges if e["src_symbol_id"] in depth}
-    assert Counter(tuple(r) for r in registry.queries()["symbol_walk_whole"](spark, data).collect()) == want
+    assert Counter(tuple(r) for r in registry.queries()["symbol_walk"](spark, data).collect()) == want
 
 
 def edge(dst, name, line=1, path="m/a.ts"):
