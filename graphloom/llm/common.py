@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import discard, materialize, shared_dir
 
-__all__ = ["discard", "documents", "held_out", "materialize", "release", "shared_dir", "table"]
+__all__ = ["discard", "documents", "held_out", "materialize", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,3 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_out(doc_id: str = "doc_id"):
     """True where crc32 of the id as text is a multiple of five (null ids: False)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, unreferenced steps."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

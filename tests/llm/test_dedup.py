@@ -236,11 +236,12 @@ def test_empty_tables_and_missing_ids(spark, empty_docs):
     assert substring_dedup.digest(odd).count() == 3 and suffix_dedup.digest(odd).count() == 3
 
 
-def test_near_copies_match_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("rare", [3, 0])
+def test_near_copies_match_brute_force(spark, monkeypatch, rare):
     """Pairs from far below to above the threshold; SimHash at seven bits misses some of those that reach it."""
     import random
 
-    monkeypatch.setattr(near_copies, "SAMPLE_DOCS", 60)
+    monkeypatch.setattr(near_copies, "RARE", rare)
     rng = random.Random(3)
     line = [f"license{i}" for i in range(25)]
     texts = {}
