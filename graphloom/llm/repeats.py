@@ -29,8 +29,10 @@ of every text, without shuffling a record per position.
 Folding compares 64-bit digests of contexts together with their anchor, number
 of windows and place of the anchor; everything else compares bytes or words.
 
-A row is known by its id and a hash of its text, so rows that share an id but
-not a text keep their own ranges; rows without an id are kept apart by a flag.
+A row is known by its batch, its id and a hash of its text, so rows that share
+an id but not a text keep their own ranges; rows without an id are kept apart
+by a flag.  Batches matter to ``suffix_dedup`` alone, where texts of earlier
+batches come before all of a later one.
 """
 
 from __future__ import annotations
@@ -51,16 +53,20 @@ from .common import discard, materialize
 KEY_BYTES = 512 << 10
 PARTITION_BYTES = 64 << 20
 #: What names a row of the documents.
-ROW = ("noid", "id", "row")
+ROW = ("batch", "noid", "id", "row")
 _PLACE = (1 << 16) - 1
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    """(noid, id, row, text, more): ids without nulls and the hash that tells the texts of one id apart."""
+def row_schema(kind: str) -> str:
+    return f"batch int, noid boolean, id {kind}, row bigint"
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str, *more, batch: int = 0) -> DataFrame:
+    """(batch, noid, id, row, text, more): ids without nulls and the hash that tells the texts of one id apart."""
     kind = docs.schema[id_col].dataType
     none = F.lit(0 if isinstance(kind, NumericType) else "").cast(kind)
     key = F.col(id_col)
-    return docs.select(key.isNull().alias("noid"), F.coalesce(key, none).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"), *more)
+    return docs.select(F.lit(batch).alias("batch"), key.isNull().alias("noid"), F.coalesce(key, none).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"), *more)
 
 
 def named(rows: DataFrame):
@@ -96,12 +102,12 @@ def packed(lo: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def find_anchors(rows: DataFrame, width: int, gram: int, words: bool) -> DataFrame:
-    """A row for every run of every text: (key, ctx, noid, id, row, at, span); ``span`` holds the context's first byte and size."""
+    """A row for every run of every text: (key, ctx, row names, at, span); ``span`` holds the context's first byte and size."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for first, _, buf, off in K.blocks(batch.column(3)):
+            for first, _, buf, off in K.blocks(batch.column(len(ROW))):
                 codes, count, starts, ends = units(buf, off, words)
                 key, lo, n, anchor = anchor_runs(codes, count, width, gram)
                 if not len(key):
@@ -114,10 +120,10 @@ def find_anchors(rows: DataFrame, width: int, gram: int, words: bool) -> DataFra
                 at = packed(lo - count[text], n, anchor - lo)
                 span = ((a - off[text]) << 32) | (b - a)
                 owner = pa.array(text + first)
-                arrays = [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), *(batch.column(i).take(owner) for i in range(3)), pa.array(at), pa.array(span)]
+                arrays = [pa.array(key.view(np.int64)), pa.array(digest.view(np.int64)), *(batch.column(i).take(owner) for i in range(len(ROW))), pa.array(at), pa.array(span)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "ctx", *ROW, "at", "span"])
 
-    return rows.select(*ROW, "text").mapInArrow(run, f"key bigint, ctx bigint, noid boolean, id {kind}, row bigint, at bigint, span bigint")
+    return rows.select(*ROW, "text").mapInArrow(run, f"key bigint, ctx bigint, {row_schema(kind)}, at bigint, span bigint")
 
 
 def _order():
@@ -251,7 +257,7 @@ def _halves(hot: DataFrame, width: int, gram: int, words: bool, level: int, kind
             yield pa.RecordBatch.from_arrays([*signed, *names, pa.array(out["at"], pa.int64()), pa.array(out["half"], pa.int32()), pa.array(out["text"], pa.binary())], names=["key", "ctx", *ROW, "c", "at", "half", "text"])
 
     columns = hot.select(*ROW, "c", "at", "half", "text")
-    return columns.mapInArrow(run, f"key bigint, ctx bigint, noid boolean, id {kind}, row bigint, c bigint, at bigint, half int, text binary")
+    return columns.mapInArrow(run, f"key bigint, ctx bigint, {row_schema(kind)}, c bigint, at bigint, half int, text binary")
 
 
 def _hot_keys(contexts: DataFrame, label: str) -> tuple[DataFrame | None, int]:
@@ -262,21 +268,23 @@ def _hot_keys(contexts: DataFrame, label: str) -> tuple[DataFrame | None, int]:
     return (materialize(groups.where(hot).select("key"), f"{label}-hot") if any_hot else None), int(total or 0)
 
 
-def repeated_ranges(rows: DataFrame, *, width: int, gram: int, words: bool, earlier_only: bool, index: Callable, order: tuple[str, ...], bucket_bytes: int) -> DataFrame:
+def repeated_ranges(rows: DataFrame, *, width: int, gram: int, words: bool, earlier_only: bool, index: Callable, order: tuple[str, ...], bucket_bytes: int, runs: DataFrame | None = None) -> DataFrame:
     """(row names, s, e): stretches of units inside repeated windows; stretches may overlap.
 
     ``rows`` are identified.  ``index(batches, width, gram)`` takes a
     partition's contexts, whole buckets sorted by ``order`` within each, and
-    yields (batch, mask of its repeated windows).
+    yields (batch, mask of its repeated windows).  ``runs`` are the rows' runs
+    where they are written already.
     """
     if width - gram >= _PLACE:
         raise ValueError("windows are too wide")
     spark = rows.sparkSession
     kind = rows.schema["id"].dataType.simpleString()
-    runs = materialize(find_anchors(rows, width, gram, words), "runs")
+    if runs is None:
+        runs = materialize(find_anchors(rows, width, gram, words), "runs")
     # Written first: a join splits a hot key only where both its sides are plain exchanges.
     many = materialize(runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "anchors")
-    kept = materialize(runs.join(many, "key").withColumn("c", F.lit(1).cast("bigint")), "kept")
+    kept = materialize(runs.select("key", "ctx", *ROW, "at", "span").join(many, "key").withColumn("c", F.lit(1).cast("bigint")), "kept")
     discard(runs, many)
     done, firsts = _folded(kept, width, earlier_only, "level0")
     discard(kept)
@@ -294,7 +302,7 @@ def repeated_ranges(rows: DataFrame, *, width: int, gram: int, words: bool, earl
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
         number = max(parts, -(-total // bucket_bytes))
         tidy = rest.select(F.pmod(F.xxhash64("key"), F.lit(number)).cast("int").alias("bucket"), *ROW, "c", "at", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", *order)
-        found.append(materialize(tidy.mapInArrow(_searcher(index, width, gram, earlier_only), f"noid boolean, id {kind}, row bigint, s int, e int"), f"level{level}-found"))
+        found.append(materialize(tidy.mapInArrow(_searcher(index, width, gram, earlier_only), f"{row_schema(kind)}, s int, e int"), f"level{level}-found"))
         if hot is None:
             break
         level += 1

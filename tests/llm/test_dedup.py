@@ -155,6 +155,21 @@ def test_index_family_is_of_sorted_arrays_that_merge_geometrically():
         assert level.heads.tolist() == sorted(set(level.heads.tolist())) and len(set(level.places.tolist())) == len(level)
 
 
+def test_a_stored_family_takes_batches(spark, corpus, tmp_path):
+    """Batches in the order of their ids give what one batch gives; the family is opened anew for each."""
+    home, got, sizes = f"file://{tmp_path}/family", {}, []
+    for a, b in ((0, 10), (10, 14), (14, 30), (30, 45), (45, 45), (45, 60)):
+        family = suffix_dedup.StoredFamily(spark, home)
+        found = suffix_dedup.digest(corpus.where(F.col("doc_id").between(a, b - 1)), family=family)
+        got |= {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()}
+        sizes = [n for _, n in suffix_dedup.StoredFamily(spark, home).levels]
+        assert all(x > 2 * y for x, y in zip(sizes, sizes[1:], strict=False))
+    assert got == brute_bytes(texts_of(corpus), 100)
+    assert len(list((tmp_path / "family").glob("level-*"))) == len(sizes)
+    with pytest.raises(ValueError):
+        suffix_dedup.StoredFamily(spark, home, min_bytes=50)
+
+
 def test_zero_bytes_are_told_apart():
     import numpy as np
 
