@@ -24,9 +24,10 @@ groups, so a large group of near copies never emits its pairs.
 
 Defined results: a null text counts as empty; a text without words has
 fingerprint zero and links like any other; texts with fewer words than a
-shingle are one shingle; a null id drops out of the result (nothing could name
-its class); repeated ids are one node; an empty table gives an empty result.
-Extra columns are ignored.
+shingle are one shingle; every row gets a result, repeated rows equal ones;
+rows that share an id are classed each by its own text; a row without an id
+links like any other but never names a class, which is null where no member
+has an id; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def text_fingerprints(column, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, *, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp BIGINT) for every row with an id."""
+    """(id, fp BIGINT) for every row."""
 
     def run(batches):
         for batch in batches:
@@ -117,8 +118,7 @@ def fingerprints(docs: DataFrame, *, width: int = 5, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
 def segment_bounds(segments: int) -> list[tuple[int, int]]:
@@ -215,6 +215,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, max_bits: int = 4, id_co
     classes = distinct.join(members, distinct.fp == members.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
     named = classes.join(classes.groupBy("c").agg(F.min("least").alias("component")), "c").select("fp", "component")
     # Written first: the join can split the fingerprint of a large group of copies only between plain exchanges.
-    out = prints.join(materialize(named, "simhash-named"), "fp").select("id", "fp", "component").distinct()
-    discard(first, second, links)
+    out = prints.join(materialize(named, "simhash-named"), "fp").select("id", "fp", "component")
+    discard(first, second, third, links)
     return out

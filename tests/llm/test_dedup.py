@@ -247,7 +247,9 @@ def test_connected_components_of_chains_and_stars(spark):
 def test_empty_tables_and_missing_ids(spark, empty_docs):
     assert substring_dedup.digest(empty_docs).isEmpty() and suffix_dedup.digest(empty_docs).isEmpty() and simhash.near_duplicates(empty_docs).isEmpty()
     odd = spark.createDataFrame([(None, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "z")], "doc_id bigint, text string, id string").withColumn("key", F.lit(1)).withColumn("component", F.lit(2))
-    assert [r["component"] for r in simhash.near_duplicates(odd).collect()] == [1]
+    assert sorted((str(r["id"]), r["component"]) for r in simhash.near_duplicates(odd).collect()) == [("1", 1), ("1", 1), ("None", 1)]
+    alone = spark.createDataFrame([(None, "a b c"), (7, "quite another text of words"), (7, "and one more that shares the id")], "doc_id bigint, text string")
+    assert sorted((str(r["id"]), str(r["component"])) for r in simhash.near_duplicates(alone).collect()) == [("7", "7"), ("7", "7"), ("None", "None")]
     assert substring_dedup.digest(odd).count() == 3 and suffix_dedup.digest(odd).count() == 3
 
 
