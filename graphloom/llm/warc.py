@@ -172,23 +172,32 @@ class WarcReader(DataSourceReader):
         system, path = _filesystem(partition.path)
         names = [*HEADERS, "content_length", "payload"]
         schema = pa.schema([(n, pa.int64() if n in ("payload_length", "content_length") else pa.binary() if n == "payload" else pa.string()) for n in names])
-        rows, size = [], 0
+        columns: dict[str, list] = {n: [] for n in names}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(columns[n], schema.field(n).type) for n in names]
+            for held in columns.values():
+                held.clear()
+            return pa.RecordBatch.from_arrays(arrays, schema=schema)
+
         with system.open_input_stream(path, compression=None) as raw:
             stream = RecordStream(raw)
             while (head := stream.headers()) is not None:
-                row = {k: head.get(v.lower()) for k, v in HEADERS.items()}
-                row["payload_length"] = int(row["payload_length"]) if row["payload_length"] else None
-                row["content_length"] = int(head["content-length"])
-                wanted = all(row[k] in allowed for k, allowed in self.tests)
-                row["payload"] = stream.body(row["content_length"], wanted and self.payload)
+                found = {k: head.get(v.lower()) for k, v in HEADERS.items()}
+                found["payload_length"] = int(found["payload_length"]) if found["payload_length"] else None
+                length = int(head["content-length"])
+                wanted = all(found[k] in allowed for k, allowed in self.tests)
+                payload = stream.body(length, wanted and self.payload)
                 if wanted:
-                    rows.append(row)
-                    size += row["content_length"] + 512
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    for n, v in (*found.items(), ("content_length", length), ("payload", payload)):
+                        columns[n].append(v)
+                    size += length + 512
+                    if size > 4 << 20:
+                        yield flush()
+                        size = 0
+        if columns["content_length"]:
+            yield flush()
 
 
 @dataclass
@@ -214,10 +223,10 @@ class WarcWriter(DataSourceArrowWriter):
         final = f"{path}/part-{context.partitionId():05d}.warc.gz"
         with system.open_output_stream(name, compression=None) as out:
             for batch in batches:
-                columns = [batch.column(batch.schema.get_field_index(n)) for n in ("page_id", "url", "html", "refers_to")]
+                columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("page_id", "url", "html", "refers_to")]
                 for page_id, url, html, refers_to in zip(*columns, strict=True):
-                    payload = (html.as_py() or "").encode()
-                    record = record_bytes(page_id.as_py(), url.as_py(), payload, sha1_base32(payload), refers_to.as_py())
+                    payload = (html or "").encode()
+                    record = record_bytes(page_id, url, payload, sha1_base32(payload), refers_to)
                     squeeze = zlib.compressobj(self.level, zlib.DEFLATED, 31)
                     out.write(squeeze.compress(record) + squeeze.flush())
         return Written(name, final)

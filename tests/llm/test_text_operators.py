@@ -425,3 +425,46 @@ def test_mixing_takes_repeated_rows_and_very_long_texts(spark, tongues):
     rows = mixing.mix(docs, tongues.select("doc_id", F.col("lang").alias("domain")), {"aa": 1.0, "bb": 1.0, "cc": 1.0}).collect()
     assert len(rows) == docs.count() and [r["n_tokens"] for r in rows if r["id"] == 5000] == [200_000]
     assert len([r for r in rows if r["id"] is None]) == 2 and len({tuple(r["p"]) for r in rows if r["id"] is None}) == 1
+
+
+def test_very_long_texts_and_repeated_rows(spark, labelled):
+    """Rules, leaks and the classifier on texts of many blocks, rows that occur twice, rows without an id and clashing names."""
+    docs, labels = labelled
+    long = " ".join(f"w{i % 5000}" for i in range(400_000))
+    rows = [(7000, long), (7001, "x" * 3_000_000), (7002, "alpha beta gamma"), (7002, "alpha beta gamma"), (None, "delta " * 30), (None, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema).withColumn("id", F.lit("x")).withColumn("score", F.lit("x")).withColumn("base_failed", F.lit(3))
+    got = quality_rules.judge(odd, labels).collect()
+    want = sorted((str(i), *brute_rules(t)) for i, t in rows)
+    assert sorted((str(r["id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got) == want
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200, 215))), (2, "alpha beta"), (2, "alpha beta"), (None, "delta delta delta")], "item_id bigint, text string")
+    found = decontaminate.scan_documents(odd, items).collect()
+    by = sorted((str(r["id"]), r["n_words"], r["n_hit"], r["items"]) for r in found)
+    assert by == [("7000", 400_000, 80 * 15, ["1"]), ("7001", 1, 0, []), ("7002", 3, 2, ["2"]), ("7002", 3, 2, ["2"]), ("None", 0, 0, []), ("None", 30, 30, [])]
+    whole = docs.unionByName(odd.select(*docs.columns)).withColumn("id", F.lit("x")).withColumn("quality", F.lit("x")).withColumn("score", F.lit("x"))
+    scored = [r for r in quality_classifier.score_documents(whole, labels, F.lit(True)).collect() if r["id"] is None or r["id"] >= 7000]
+    assert len(scored) == 6 and all(0 <= r["score"] <= 1 for r in scored) and len({r["score"] for r in scored if r["id"] == 7002}) == 1
+
+
+def test_scores_match_brute_force_network(spark, labelled):
+    """The scores of the query against the network's formula on statistics taken text by text."""
+    import numpy as np
+    import pyarrow as pa
+
+    docs, labels = labelled
+    features = quality_classifier.measured(docs).cache()
+    net, prior = quality_classifier.train(features, labels.select(F.col("doc_id").alias("id"), "quality"), F.lit(True))
+    assert 0.5 < prior <= 0.98
+    got = {r["id"]: r["score"] for r in quality_classifier.score_documents(docs, labels, F.lit(True)).collect()}
+    for r in docs.limit(25).collect():
+        x = quality_classifier.statistics(pa.array([r["text"]]))[0].astype(float)
+        hidden = [np.tanh(sum(np.clip((x[i] - net.mean[i]) / net.scale[i], -8, 8) * net.w1[i, k] for i in range(len(x))) + net.b1[k]) for k in range(net.w1.shape[1])]
+        raw = sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-raw)), rel=1e-6)
+
+
+def test_archives_of_repeated_missing_and_long_pages(spark, tables):
+    long = "<p>" + "long " * 1_000_000
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, None, long), (3, "w", long), (None, "n", "a"), (4, "\u00fc x\r\ny", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("digest", F.lit("x")).withColumn("head", F.lit(9)).withColumn("refers_to", F.lit("x"))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in Q.op5_warc(spark, tables(pages=pages)).collect())
+    assert got == [(1, 1, "response", None), (1, 1, "response", None), (2, len(long), "revisit", 3), (3, len(long), "response", None), (4, 0, "response", None)]
