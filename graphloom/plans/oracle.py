@@ -67,6 +67,24 @@ first as (select node, min(depth) as depth from rw group by node),
 walk as (select e.*, f.depth+1 as depth from ue e join first f on f.node=e.{near})"""
 
 
+def flow_sql(name: str, depth: int, limit: int) -> str:
+    """The walk of a flow tree, a node or a step back in each round: the stack of open nodes, what was met, what was opened."""
+    top = "struct_pack(node:=t.node, module:=t.module, depth:=t.depth, sym:=t.sym, k:=t.k+1)"
+    return f""",
+adj as materialized (select *, row_number() over (partition by src order by id, ordinal) as k from (select e.src_symbol_id as src, e.id, e.ordinal, e.dst_symbol_id as target, d.path, coalesce(s.name, e.dst_name) as name, e.line, e.confidence
+  from edges e left join files d on d.id=e.dst_file_id left join symbols s on s.id=e.dst_symbol_id where e.src_symbol_id is not null)),
+start as (select s.id, s.name, f.path, s.start_line as line from symbols s join files f on f.id=s.file_id where s.name='{name}' order by length(s.name), s.name, f.path, s.id limit 1),
+rec(stk, seen, opened, n, emitted, node_id, parent_id, ordinal, depth, name, path, line, confidence, crosses_module, repeated) as (
+ select [struct_pack(node:=0, module:={module('path')}, depth:=1, sym:=id, k:=cast(1 as bigint))], [id], [id], 1, true, 0, cast(null as int), cast(0 as bigint), 0, name, path, line, 'exact', false, false from start
+ union all
+ select case when not go then rest when push then list_append(list_append(rest, moved), struct_pack(node:=n, module:=coalesce(m, t.module), depth:=t.depth+1, sym:=target, k:=cast(1 as bigint))) else list_append(rest, moved) end,
+  case when go and fresh then list_append(seen, target) else seen end, case when push then list_append(opened, target) else opened end, n+cast(go as int), go,
+  n, t.node, t.k-1, t.depth, ename, epath, eline, econf, coalesce(m<>t.module, false), coalesce(list_contains(opened, target), false)
+ from (select *, go and fresh and n+1<{limit} and t.depth+1<={depth} as push from (
+  select r.*, e.target, e.name as ename, e.path as epath, e.line as eline, e.confidence as econf, case when e.path is not null then {module('e.path')} end as m, {top} as moved, e.src is not null and r.n<{limit} as go, e.target is not null and not list_contains(r.seen, e.target) as fresh
+  from (select *, stk[len(stk)] as t, stk[1:len(stk)-1] as rest from rec where len(stk)>0) r left join adj e on e.src=r.t.sym and e.k=r.t.k)))"""
+
+
 IMPACT = (
     walk_sql("name='sym_8'", "dst_symbol_id", "src_symbol_id")
     + """,
@@ -120,6 +138,7 @@ ORACLES: dict[str, str] = {
     "deps_in": sql("select f.path, cast(r.depth as int) as depth from reach r join files f on f.id=r.node where r.depth>0", bfs_sql("dst", "src")),
     "symbol_walk": sql("select id, ordinal, dst_name, confidence, cast(depth as int) as depth from walk", walk_sql("name='sym_8'", "src_symbol_id", "dst_symbol_id")),
     "symbol_walk_filtered": sql("select id, ordinal, dst_name, confidence, cast(depth as int) as depth from walk", walk_sql("name='sym_8'", "src_symbol_id", "dst_symbol_id", "and kind='calls' and confidence in ('heuristic','resolved','exact')")),
+    "flow_tree": sql("select node_id, parent_id, cast(ordinal as int) as ordinal, depth, name, path, line, confidence, crosses_module, repeated from rec where emitted", flow_sql("sym_21", 6, 100)),
     "impact_buckets": sql("select count(*) as total, count(*) filter (where confidence='exact') as verified, count(*) filter (where confidence in ('heuristic','resolved')) as likely, count(*) filter (where confidence in ('ambiguous','unresolved')) as ambiguous from refs", IMPACT),
     "impact_by_module": sql(f"select {module('path')} as module, count(*) as count from refs group by 1", IMPACT),
     "file_cycles": sql("select string_agg(node, ',' order by node) as members, count(*) as size, max(w) as internal_edges from comp join (select x.component as k, count(*) as w from fe join comp x on x.node=a join comp y on y.node=b where x.component=y.component group by 1) on k=component group by component", FILE_CYCLES),

@@ -216,7 +216,7 @@ def impact_by_module(g: Graph) -> DataFrame:
 
 @query
 def flow_tree(g: Graph) -> DataFrame:
-    tree = flow.trace_flow(_hits(g), _details(g), "sym_8", max_depth=4, limit=50)
+    tree = flow.trace_flow(_hits(g), _details(g), "sym_21", max_depth=6, limit=100)
     rows = tree.rows if tree else []
     return g.files.sparkSession.createDataFrame(rows, flow.NODE)
 

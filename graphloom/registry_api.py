@@ -15,7 +15,7 @@ from . import registry
 from .api import Repository
 from .operators import incremental, search
 from .plans.index import Snapshot
-from .plans.oracle import FIX, MODULE_CYCLES, FILE_MEMBERS, HOTSPOT_ROWS, IMPACT, bfs_sql, module, sql, walk_sql
+from .plans.oracle import FILE_MEMBERS, HOTSPOT_ROWS, IMPACT, MODULE_CYCLES, bfs_sql, flow_sql, module, sql, walk_sql
 from .plans.projection import Graph, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,14 +196,20 @@ def impact_of(r: Projected) -> list[tuple]:
     return out + listed("modules", i["byModule"], lambda x: x["module"], lambda x: x["count"]) + listed("matches", i["matchedSymbols"], lambda x: x["path"], lambda x: x["line"])
 
 
+@query(
+    sql(
+        "select 'nodes' as section, cast(node_id+1 as bigint) as position, name||' '||coalesce(path,'-')||' '||confidence||' '||case when repeated then 'true' else 'false' end as key, cast(coalesce(parent_id+1,0) as double) as value from rec where emitted",
+        flow_sql("sym_21", 6, 100),
+    )
+)
 def trace_flow(r: Projected) -> list[tuple]:
-    """The tree of a bounded walk; it is sequential by definition and held to a brute-force walk."""
-    found = r.trace_flow("sym_8", limit=200)["result"]
+    """The tree of a bounded walk, node by node."""
+    found = r.trace_flow("sym_21", max_depth=6, limit=100)["result"]
     out: list[tuple] = []
 
     def lay(node: dict, parent: int) -> None:
         here = len(out) + 1
-        out.append(("nodes", here, f"{node['name']} {node['path'] or '-'} {node['confidence']} {node['repeated']}", float(parent)))
+        out.append(("nodes", here, f"{node['name']} {node['path'] or '-'} {node['confidence']} {str(node['repeated']).lower()}", float(parent)))
         for child in node["calls"]:
             lay(child, here)
 
@@ -211,9 +217,6 @@ def trace_flow(r: Projected) -> list[tuple]:
     return out
 
 
-QUERIES["trace_flow"] = lambda spark, sf_dir: spark.createDataFrame(trace_flow(Projected(project(spark, sf_dir))), ROWS)
-
-
 @query(
     sql(
         f"""select 'cycles' as section, row_number() over (order by size desc, w desc, least) as position, members||' '||cast(size as varchar)||' '||case when real then 'false' else 'true' end as key, cast(w as double) as value from (
