@@ -175,7 +175,7 @@ class Repository:
             "matchedSymbols": [r.asDict() for r in matches.select("path", F.col("start_line").alias("line"), "kind", "exported").orderBy("path", "line").collect()],
             "totalReferences": counts.pop("total"),
             "buckets": counts,
-            "byModule": [r.asDict() for r in impact.by_module(refs).orderBy(F.desc("count"), "module").collect()],
+            "byModule": [r.asDict() for r in impact.by_module(refs).orderBy(F.desc("count"), "first").drop("first").collect()],
             "references": rows,
             "exportedFromEntryPoint": not matches.where(F.col("exported") & overview.is_entry_point("path", self._manifest())).isEmpty(),
             "maxDepth": max_depth,

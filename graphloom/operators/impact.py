@@ -10,10 +10,10 @@ from ..functions.paths import module_of
 
 
 def references(walk: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, line, confidence): one reference a place, the nearest first."""
+    """(path, line, confidence, depth, id, ordinal): one reference a place, the nearest first."""
     rows = walk.join(files.select(F.col("id").alias("src_file_id"), "path"), "src_file_id")
     place = W.partitionBy("path", "line").orderBy("depth", "id", "ordinal")
-    return rows.withColumn("_rank", F.row_number().over(place)).where("_rank = 1").select("path", "line", "confidence")
+    return rows.withColumn("_rank", F.row_number().over(place)).where("_rank = 1").select("path", "line", "confidence", "depth", "id", "ordinal")
 
 
 def buckets(refs: DataFrame) -> DataFrame:
@@ -28,4 +28,5 @@ def buckets(refs: DataFrame) -> DataFrame:
 
 
 def by_module(refs: DataFrame) -> DataFrame:
-    return refs.groupBy(module_of("path").alias("module")).agg(F.count(F.lit(1)).alias("count"))
+    """(module, count, first): ``first`` is the place of the module's first reference, which orders modules of one count."""
+    return refs.groupBy(module_of("path").alias("module")).agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("depth", "path", "line", "id", "ordinal")).alias("first"))

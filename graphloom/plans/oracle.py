@@ -88,7 +88,7 @@ rec(stk, seen, opened, n, emitted, node_id, parent_id, ordinal, depth, name, pat
 IMPACT = (
     walk_sql("name='sym_8'", "dst_symbol_id", "src_symbol_id")
     + """,
-refs as (select path, line, confidence from (select f.path, w.line, w.confidence, row_number() over (partition by f.path, w.line order by w.depth, w.id, w.ordinal) as k
+refs as (select path, line, confidence, depth, id, ordinal from (select f.path, w.line, w.confidence, w.depth, w.id, w.ordinal, row_number() over (partition by f.path, w.line order by w.depth, w.id, w.ordinal) as k
   from walk w join files f on f.id=w.src_file_id) where k=1)"""
 )
 

@@ -211,7 +211,7 @@ def impact_buckets(g: Graph) -> DataFrame:
 
 @query
 def impact_by_module(g: Graph) -> DataFrame:
-    return impact.by_module(_references(g))
+    return impact.by_module(_references(g)).drop("first")
 
 
 @query

@@ -184,7 +184,7 @@ def get_symbol_dependents(r: Projected) -> list[tuple]:
         f"""select * from ({_NEAR}) union all {_TOTAL.format("rows", "walk", 100)}
 union all select 'buckets', 0, 'verified', cast(count(*) filter (where confidence='exact') as double) from refs union all select 'buckets', 0, 'likely', count(*) filter (where confidence in ('heuristic','resolved')) from refs
 union all select 'buckets', 0, 'ambiguous', count(*) filter (where confidence in ('ambiguous','unresolved')) from refs
-union all select 'modules', row_number() over (order by n desc, m), m, n from (select {module("path")} as m, count(*) as n from refs group by 1)
+union all select 'modules', row_number() over (order by n desc, first), m, n from (select {module("path")} as m, count(*) as n, min(row(depth, path, line, id, ordinal)) as first from refs group by 1)
 union all select 'matches', row_number() over (order by f.path, s.start_line), f.path, s.start_line from symbols s join files f on f.id=s.file_id where s.name='sym_8'""",
         IMPACT,
     )
