@@ -34,4 +34,15 @@ gone as (select doc_id, count(*) as n from hit group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n,0) as n_removed, sha256(coalesce(rest,'')) as kept_sha256
 from d left join gone on gone.doc_id=d.doc_id left join kept on kept.doc_id=d.doc_id"""
 
-ORACLES = {"op5_warc": OP5, "op7_benchmark_decontamination": OP7, "op8_substring_dedup": OP8}
+OP6 = """with d as (select doc_id, hex(encode(coalesce(text,''))) as h, octet_length(encode(coalesce(text,''))) as n from documents),
+part as (select doc_id, base, n, substr(h, 2*base+1, 2198) as h from (select doc_id, h, n, unnest(range(0, n-99, 1000)) as base from d)),
+w as (select doc_id, base+j as k, substr(h, 2*j+1, 200) as win from (select doc_id, base, h, unnest(range(0, least(1000, n-99-base))) as j from part)),
+hit as (select doc_id, k from (select doc_id, k, row_number() over (partition by win order by doc_id, k) as r from w) where r>1),
+run as (select doc_id, k, sum(case when k<=p+100 then 0 else 1 end) over (partition by doc_id order by k) as g from (select doc_id, k, lag(k) over (partition by doc_id order by k) as p from hit)),
+span as (select doc_id, min(k) as s, max(k)+100 as e from run group by doc_id, g),
+piece as (select x.doc_id, string_agg(substr(h, 2*b+1, 2*(s-b)), '' order by s) as kept, max(e) as e, count(*) as c, sum(e-s) as r
+ from (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as b from span) x join d on d.doc_id=x.doc_id group by x.doc_id)
+select d.doc_id, cast(n as bigint) as n_bytes, cast(coalesce(r,0) as bigint) as n_removed, coalesce(c,0) as n_spans, sha256(unhex(coalesce(kept,'')||substr(h, 2*coalesce(e,0)+1))) as kept_sha256
+from d left join piece p on p.doc_id=d.doc_id"""
+
+ORACLES = {"op5_warc": OP5, "op6_suffix_array_dedup": OP6, "op7_benchmark_decontamination": OP7, "op8_substring_dedup": OP8}
