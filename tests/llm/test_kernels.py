@@ -34,12 +34,13 @@ def test_window_hashes_agree_with_equality(codes, width):
 @settings(max_examples=60, deadline=None)
 def test_equal_windows_pick_equal_anchors(codes):
     c = np.array(codes, np.uint64)
-    key, lo, n = anchor_runs(c, np.array([0, len(c)]), 10, 4)
+    key, lo, n, place = anchor_runs(c, np.array([0, len(c)]), 10, 4)
     assert int(n.sum()) == len(codes) - 9
     of = {}
     for k, a, m in zip(key.tolist(), lo.tolist(), n.tolist(), strict=True):
         for i in range(a, a + m):
             assert of.setdefault(tuple(codes[i : i + 10]), k) == k
+    assert (lo + n - 1 <= place).all() and (place + 4 <= lo + 10).all()
 
 
 def test_blocks_keep_whole_texts():
