@@ -1,53 +1,5 @@
-"""Connected components of an edge table by alternating large and small stars.
+"""Connected components, as the training-data operators use them."""
 
-Each round is two aggregations and two joins; labels at least halve a path's
-length, so rounds grow with the logarithm of the longest chain.  A hub's
-neighbours are never gathered in one row: the minimum is a combinable
-aggregate and the join on a hub's key can be split.
-"""
+from ..operators.undirected import connected_components
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import discard, materialize
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the node's least neighbour."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable, for nodes with a link.
-
-    ``links`` has two columns of one orderable type.  Self-links and links
-    with a null end are ignored.
-    """
-    a, b = links.columns[:2]
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges = materialize(edges, "cc")
-    before = None
-    for _ in range(max_rounds):
-        after = materialize(_small_star(_large_star(edges)), "cc")
-        discard(edges)
-        edges = after
-        # Stars only: every left end has one link and no right end is a left end.
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or tuple(state) == before:
-            break
-        before = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+__all__ = ["connected_components"]

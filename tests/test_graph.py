@@ -94,6 +94,43 @@ def test_paths_between_cycles_join_them_only_both_ways(spark):
     assert got == {k: c for k, c in want.items() if sizes[c] > 1}
 
 
+def _ring(n):
+    """Modules that import the next two and the one before: one cycle of a diameter of n / 3."""
+    return [(f"pkg{i:05d}", f"pkg{(i + step) % n:05d}") for i in range(n) for step in (1, 2, -1)]
+
+
+@pytest.mark.parametrize("blocks", [True, False])
+def test_wide_rings_need_no_rounds_along_them(spark, monkeypatch, blocks):
+    """By blocks of edges, and by pairs that link both ways where the blocks find nothing."""
+
+    def never(*_):
+        raise AssertionError("rounds as many as the diameter")
+
+    monkeypatch.setattr(components, "_by_colouring", never)
+    if not blocks:
+        monkeypatch.setattr(components, "_within_blocks", lambda edges, kind, n: spark.createDataFrame([], f"node {kind}, least {kind}"))
+    n = 600
+    df = spark.createDataFrame([*_ring(n), ("a", "pkg00000"), ("pkg00000", "z")], "src string, dst string")
+    got = {r["node"]: r["component"] for r in components.strong_components(df, one_task_edges=300).collect()}
+    assert got == {f"pkg{i:05d}": "pkg00000" for i in range(n)}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_contracted_components_match_one_task(spark, seed):
+    """Dense and sparse parts, with a node whose edges lie in several blocks."""
+    rng = random.Random(seed)
+    edges = {(rng.randrange(300), rng.randrange(300)) for _ in range(420)} | {(7, rng.randrange(300)) for _ in range(150)}
+    edges |= {(a, a + rng.choice((1, 2, -1))) for a in range(310, 400) for _ in range(2)}
+    edges = sorted((a, b) for a, b in edges if a != b)
+    want = components.tarjan(edges)
+    sizes = {c: list(want.values()).count(c) for c in want.values()}
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    found = components.contract(df, "bigint", 8, len(edges))
+    assert found is not None and all(want[r["node"]] == want[r["least"]] for r in found[1].collect())
+    got = {r["node"]: r["component"] for r in components.strong_components(df, one_task_edges=100).collect()}
+    assert got == {k: c for k, c in want.items() if sizes[c] > 1}
+
+
 def test_wide_walks_agree_with_narrow_ones(spark):
     import random
 
