@@ -6,6 +6,7 @@ rows, so that plain SQL can check it.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,13 @@ class Projected(Repository):
     def __init__(self, g: Graph):
         self.g, self.spark, self.root, self.state, self.delta = g, g.files.sparkSession, "", "current", 0
         meta = {"indexed_at": "0", "head_commit": "", "files_indexed": "0", "files_skipped": "0", "files_skipped_by_reason": "{}"}
-        self.at = Snapshot(g.files, g.symbols, g.imports, registry._edges(g), meta)
-        self.edges, self.hits = self.at.edges, search.symbol_hits(g.symbols, g.files)
+        self.at = Snapshot(g.files, g.symbols, g.imports, None, meta)
+        self.hits = search.symbol_hits(g.symbols, g.files)
+
+    @functools.cached_property
+    def edges(self) -> DataFrame:
+        """Resolved for the queries that read them; imports alone make cycles and coupling."""
+        return registry._edges(self.g)
 
     def _texts(self) -> DataFrame:
         return registry._texts(self.spark, self.g.folder)
