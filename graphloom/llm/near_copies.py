@@ -1,9 +1,14 @@
-"""Near copies by the overlap of word-shingle sets, found without a loss.
+"""Near copies by SimHash and by the overlap of word-shingle sets, found without a loss.
 
 Two texts link when the Jaccard similarity of their sets of word shingles
 reaches a threshold; a document's class is its connected component.
 
-Candidates come from the prefix principle.  Put the shingles of every text in
+The SimHash operator's fingerprints and its pigeonring search give the first
+candidates: texts of one fingerprint, and of fingerprints within ``BITS`` bits.
+At a Jaccard similarity of 0.8 fingerprints differ in some ten bits, too many
+for any selective chain key, so SimHash alone would leave those pairs.
+
+The rest come from the prefix principle.  Put the shingles of every text in
 one common order.  Texts of x and y shingles that reach the threshold share at
 least ``need`` of them, so the first one that they share stands within a short
 prefix of both, and at its places i and j neither x - i nor y - j is less than
@@ -15,12 +20,13 @@ very end.  A passage that many texts share thus stays out of their prefixes,
 whatever their number, unless a text consists of little else.
 
 Linking runs in three rounds, so that a large group of near copies never emits
-its pairs: every text with the least likely one that heads a shingle of its
-prefix; then, for each shingle, one text of every group that the links so far
+its pairs: the SimHash candidates, and every text with the least likely one that
+heads a shingle of its prefix; then, for each shingle, one text of every group that the links so far
 give; then all candidates that still lie in different groups.  A candidate
 meets a sketch first, the parities of its shingles in 512 cells: two sets
 differ in at least as many shingles as their sketches do in bits, so no pair
-is lost by it.  What passes is checked on the whole sets, and nothing is
+is lost by it; the last two rounds test a sketch of half the cells inside the
+join, so that the rest leave no row.  What passes is checked on the whole sets, and nothing is
 capped.
 
 Shingles are compared by 64-bit hashes, sets that are equal by a hash of them.
@@ -41,23 +47,30 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_links, majority_bits, shingle_hashes
 
 #: Counted shingles in at most so many texts come first in the common order.
 RARE = 3
 #: 64-bit words of a sketch.
 WORDS = 8
+#: Fingerprints of SimHash candidates differ in at most so many bits.
+BITS = 4
 
 
 def shingle_sets(column, width: int):
     """(lo, hi, shingles, offsets) of each block: every text's distinct shingles, ascending."""
     for lo, hi, hashes, off in shingle_hashes(column, width):
-        text = np.repeat(np.arange(hi - lo), np.diff(off))
-        order = np.lexsort((hashes, text))
-        hashes, text = hashes[order], text[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
-        yield lo, hi, hashes[new], np.searchsorted(text[new], np.arange(hi - lo + 1))
+        yield lo, hi, *_distinct(hashes, off)
+
+
+def _distinct(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): every text's distinct hashes, ascending."""
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], np.searchsorted(text[new], np.arange(len(off)))
 
 
 def _counted(hashes: np.ndarray) -> np.ndarray:
@@ -119,22 +132,24 @@ def _lists(off: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def _prefixes(rows: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """(id, sig, n, sketch, s): hash, size, sketch and prefix of each text's set; ``rows`` has (id, text, late)."""
+    """(id, sig, fp, n, sketch, s): hash, SimHash fingerprint, size, sketch and prefix of each text's set; ``rows`` has (id, text, late)."""
     kind = rows.schema["id"].dataType.simpleString()
     num, den = similarity
 
     def run(batches):
         for batch in batches:
-            for lo, hi, values, off in shingle_sets(batch.column(1), width):
+            for lo, hi, hashes, off in shingle_hashes(batch.column(1), width):
+                fp = majority_bits(hashes, off)
+                values, off = _distinct(hashes, off)
                 sig, sketch, size = _signed(off, values), _sketches(values, off), np.diff(off)
                 values = common_order(values, off, batch.column(2).slice(lo, hi - lo))
                 keep = np.where(size > 0, size - -(-size * num // den) + 1, 0)
                 head = values[np.arange(len(values)) - np.repeat(off[:-1], size) < np.repeat(keep, size)]
                 sketches = _lists(WORDS * np.arange(hi - lo + 1), sketch.ravel())
-                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(sig), pa.array(size, pa.int64()), sketches, _lists(np.concatenate([[0], np.cumsum(keep)]), head)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "sig", "n", "sketch", "s"])
+                arrays = [batch.column(0).slice(lo, hi - lo), pa.array(sig), pa.array(fp.view(np.int64)), pa.array(size, pa.int64()), sketches, _lists(np.concatenate([[0], np.cumsum(keep)]), head)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "sig", "fp", "n", "sketch", "s"])
 
-    return rows.mapInArrow(run, f"id {kind}, sig bigint, n bigint, sketch array<bigint>, s array<bigint>")
+    return rows.mapInArrow(run, f"id {kind}, sig bigint, fp bigint, n bigint, sketch array<bigint>, s array<bigint>")
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -148,6 +163,16 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "sig bigint, s array<bigint>")
 
 
+def simhash_candidates(distinct: DataFrame, max_bits: int = BITS) -> DataFrame:
+    """(a, b): texts of one fingerprint, and the first texts of fingerprints that the pigeonring search links; ``distinct`` has (sig, fp)."""
+    heads = materialize(distinct.groupBy("fp").agg(F.min("sig").alias("head")), "near-prints")
+    same = distinct.join(heads, "fp").where("sig <> head").select(F.col("head").alias("a"), F.col("sig").alias("b"))
+    first, second, third = fingerprint_links(heads.select("fp"), max_bits)
+    linked = first.unionByName(second).unionByName(third).toDF("fa", "fb")
+    linked = linked.join(heads.toDF("fa", "a"), "fa").join(heads.toDF("fb", "b"), "fb").select("a", "b")
+    return same.unionByName(linked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def near_copies(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): each document's class; ``similarity`` is a fraction (numerator, denominator)."""
     num, den = similarity
@@ -157,7 +182,7 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int]
     late = _frequent(rows, width)
     prefixes = materialize(_prefixes(rows.join(late, "id", "left"), width, similarity), "near-prefix")
     named = materialize(prefixes.select("id", "sig"), "near-named")
-    folded = materialize(prefixes.groupBy("sig").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("s").alias("s")), "near-folded")
+    folded = materialize(prefixes.groupBy("sig").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("s").alias("s")), "near-folded")
     discard(prefixes, late)
     distinct = materialize(folded.drop("s"), "near-distinct")
     postings = folded.select("sig", "n", F.posexplode("s").alias("at", "key"))
@@ -195,19 +220,26 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int]
         return out
 
     top = shared.where("sig = head").select(F.col("key").alias("key2"), F.col("sig").alias("b"), n.alias("m"), F.col("at").alias("to"))
-    first = likely(shared.withColumnRenamed("sig", "a").join(top, fits & (F.col("a") != F.col("b"))), "near-first")
-    first = links(first.groupBy("a").agg(F.min("b").alias("b")), "near-first")
+    headed = likely(shared.withColumnRenamed("sig", "a").join(top, fits & (F.col("a") != F.col("b"))), "near-first")
+    headed = headed.groupBy("a").agg(F.min("b").alias("b"))
+    first = links(headed.unionByName(likely(simhash_candidates(distinct), "near-simhash")), "near-first")
 
     def tagged(found: DataFrame, label: str) -> DataFrame:
         groups = materialize(connected_components(found), f"{label}-groups")
-        of = shared.join(groups, shared.sig == groups.node, "left").select("key", F.col("sig").alias("a"), "n", "at", F.coalesce("component", "sig").alias("g"))
+        halves = [F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + WORDS // 2]).alias(f"k{i}") for i in range(WORDS // 2)]
+        nodes = distinct.join(groups, distinct.sig == groups.node, "left").select(F.col("sig").alias("a"), F.coalesce("component", "sig").alias("g"), *halves)
+        of = shared.withColumnRenamed("sig", "a").join(nodes, "a").select("key", "a", "n", "at", "g", *mine)
         return materialize(of, f"{label}-tagged")
 
-    def between(mine: DataFrame) -> DataFrame:
-        return mine.join(mine.toDF("key2", "b", "m", "to", "h"), fits & (F.col("a") < F.col("b")) & (F.col("g") != F.col("h")))
+    mine, theirs = ([f"{k}{i}" for i in range(WORDS // 2)] for k in "kl")
+    differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(j))) for k, j in zip(mine, theirs, strict=True)), F.lit(0))
+
+    def between(texts: DataFrame) -> DataFrame:
+        apart_groups = (F.col("a") < F.col("b")) & (F.col("g") != F.col("h"))
+        return texts.join(texts.toDF("key2", "b", "m", "to", "h", *theirs), fits & apart_groups & reaches(n, m, (n + m - differ) / 2))
 
     groups = tagged(first, "near-first")
-    one = groups.groupBy("key", "g").agg(F.min(F.struct("a", "n", "at")).alias("x")).select("key", "x.*", "g")
+    one = groups.groupBy("key", "g").agg(F.min(F.struct("a", "n", "at", *mine)).alias("x")).select("key", "x.a", "x.n", "x.at", "g", *(f"x.{k}" for k in mine))
     second = links(likely(between(materialize(one, "near-one")), "near-second"), "near-second")
     discard(groups)
     groups = tagged(first.unionByName(second), "near-second")

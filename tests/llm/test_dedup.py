@@ -298,3 +298,18 @@ def test_drop_repeats_keeps_rows_without_an_id(spark):
     p = " ".join(f"p{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"head {p} tail"), (2, p), (None, "clean text")], "doc_id bigint, text string")
     assert {(r["doc_id"], r["text"]) for r in substring_dedup.drop_repeats(docs).collect()} == {(1, "head tail"), (None, "clean text")}
+
+
+def test_near_copies_take_simhash_candidates(spark, monkeypatch):
+    """Texts of one fingerprint and of fingerprints a few bits apart are candidates; what they link is checked on the sets."""
+    heads = {5: 0b0, 9: 0b0, 7: 0b1011, 3: -1}
+    distinct = spark.createDataFrame(list(heads.items()), "sig bigint, fp bigint")
+    got = {tuple(r) for r in near_copies.simhash_candidates(distinct).select("a", "b").distinct().collect()}
+    assert got == {(5, 9), (5, 7)}
+    asked = []
+    kept = near_copies.simhash_candidates
+    monkeypatch.setattr(near_copies, "simhash_candidates", lambda df: asked.append(df.columns) or kept(df))
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "other words")], "doc_id bigint, text string")
+    found = {r["id"]: r["component"] for r in near_copies.near_copies(docs).collect()}
+    assert found == {1: 1, 2: 1, 3: 3} and "fp" in asked[0]
