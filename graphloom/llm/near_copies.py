@@ -25,8 +25,8 @@ heads a shingle of its prefix; then, for each shingle, one text of every group t
 give; then all candidates that still lie in different groups.  A candidate
 meets a sketch first, the parities of its shingles in 512 cells: two sets
 differ in at least as many shingles as their sketches do in bits, so no pair
-is lost by it; the last two rounds test a sketch of half the cells inside the
-join, so that the rest leave no row.  What passes is checked on the whole sets, and nothing is
+is lost by it; the last two rounds test it inside the join, so that the
+rest leave no row.  What passes is checked on the whole sets, and nothing is
 capped.
 
 Shingles are compared by 64-bit hashes, sets that are equal by a hash of them.
@@ -226,12 +226,12 @@ def near_copies(docs: DataFrame, *, width: int = 5, similarity: tuple[int, int]
 
     def tagged(found: DataFrame, label: str) -> DataFrame:
         groups = materialize(connected_components(found), f"{label}-groups")
-        halves = [F.col("sketch")[i].bitwiseXOR(F.col("sketch")[i + WORDS // 2]).alias(f"k{i}") for i in range(WORDS // 2)]
-        nodes = distinct.join(groups, distinct.sig == groups.node, "left").select(F.col("sig").alias("a"), F.coalesce("component", "sig").alias("g"), *halves)
+        words = [F.col("sketch")[i].alias(f"k{i}") for i in range(WORDS)]
+        nodes = distinct.join(groups, distinct.sig == groups.node, "left").select(F.col("sig").alias("a"), F.coalesce("component", "sig").alias("g"), *words)
         of = shared.withColumnRenamed("sig", "a").join(nodes, "a").select("key", "a", "n", "at", "g", *mine)
         return materialize(of, f"{label}-tagged")
 
-    mine, theirs = ([f"{k}{i}" for i in range(WORDS // 2)] for k in "kl")
+    mine, theirs = ([f"{k}{i}" for i in range(WORDS)] for k in "kl")
     differ = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(j))) for k, j in zip(mine, theirs, strict=True)), F.lit(0))
 
     def between(texts: DataFrame) -> DataFrame:
