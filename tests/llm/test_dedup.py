@@ -244,6 +244,34 @@ def test_connected_components_of_chains_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_components_in_one_task_and_by_rounds(spark, kind):
+    rng = random.Random(4)
+    name = (lambda x: f"é{x}") if kind == "string" else (lambda x: x - 150)
+    pairs = [(name(rng.randrange(300)), name(rng.randrange(300))) for _ in range(200)]
+    want = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in want:
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    links = spark.createDataFrame(pairs, f"a {kind}, b {kind}")
+    for limit in (components.connected_components.__kwdefaults__["one_task_links"], 0):
+        found = components.connected_components(links, one_task_links=limit)
+        assert found.schema["node"].dataType == links.schema["a"].dataType
+        assert {r["node"]: r["component"] for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Each join that is planned and broadcast costs the driver memory, however small its tables."""
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        assert components.connected_components(links).count() == 41
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 8
+
+
 def test_empty_tables_and_missing_ids(spark, empty_docs):
     assert substring_dedup.digest(empty_docs).isEmpty() and suffix_dedup.digest(empty_docs).isEmpty() and simhash.near_duplicates(empty_docs).isEmpty()
     odd = spark.createDataFrame([(None, "a b c", "x"), (1, "a b c", "y"), (1, "a b c", "z")], "doc_id bigint, text string, id string").withColumn("key", F.lit(1)).withColumn("component", F.lit(2))
