@@ -108,16 +108,27 @@ def posterior(prior: list[float], weight: float) -> Column:
     return F.array(*(o / whole for o in odds))
 
 
+def _own_posteriors(scored: DataFrame, domains: list[str | None], prior: list[float]) -> DataFrame:
+    """(w0, w1, ...): the ``posterior`` of each row's own domain at each weight.
+
+    Step by step: as one expression each class would repeat the scores of all,
+    and plans of thousands of nodes cost the driver's memory.
+    """
+    each, of = range(len(WEIGHTS)), range(len(prior))
+    rows = scored.select("domain", *(F.array(*(F.lit(p) + F.lit(w) * F.col("e")[k] for k, p in enumerate(prior))).alias(f"s{i}") for i, w in enumerate(WEIGHTS)))
+    rows = rows.select("*", *(F.array_max(f"s{i}").alias(f"t{i}") for i in each))
+    rows = rows.select("domain", *(F.array(*(F.exp(F.col(f"s{i}")[k] - F.col(f"t{i}")) for k in of)).alias(f"o{i}") for i in each))
+    at = F.lit(None).cast("int")
+    for k, d in enumerate(domains):
+        at = F.when(F.col("domain").isNull() if d is None else F.col("domain") == d, F.lit(k)).otherwise(at)
+    rows = rows.select(at.alias("k"), *(f"o{i}" for i in each))
+    return rows.select(*((F.col(f"o{i}")[F.col("k")] / reduce(lambda a, b: a + b, (F.col(f"o{i}")[k] for k in of))).alias(f"w{i}") for i in each))
+
+
 def calibrate(scored: DataFrame, domains: list[str | None], prior: list[float]) -> float:
     """The weight of least negative log-likelihood over scored rows (domain, e)."""
-    losses = []
-    for i, w in enumerate(WEIGHTS):
-        p = posterior(prior, w)
-        own = F.lit(None).cast("double")
-        for k, d in enumerate(domains):
-            own = F.when(F.col("domain").isNull() if d is None else F.col("domain") == d, p[k]).otherwise(own)
-        losses.append(F.avg(-F.log(F.greatest(own, F.lit(1e-12)))).alias(f"w{i}"))
-    row = scored.agg(*losses).first()
+    losses = [F.avg(-F.log(F.greatest(f"w{i}", F.lit(1e-12)))).alias(f"w{i}") for i in range(len(WEIGHTS))]
+    row = _own_posteriors(scored, domains, prior).agg(*losses).first()
     found = [(x, -i) for i, x in enumerate(row) if x is not None]
     return WEIGHTS[-min(found)[1]] if found else WEIGHTS[2]
 

@@ -419,6 +419,18 @@ def test_mixing_without_labels_or_rows(tongues, empty_docs):
         mixing.mix(tongues, none, {f"d{i}": 1.0 for i in range(mixing.MAX_DOMAINS + 1)})
 
 
+def test_own_posteriors_are_those_of_the_rows_and_plan_small(spark):
+    """The weights' posteriors at once are the same numbers, and their plan grows with the classes, not with their square."""
+    names, prior = ["aa", "bb", "cc", "dd", None], [-1.0, -1.5, -2.0, -0.7, -3.0]
+    rows = [((["aa", "bb", "cc", "dd", None, "other"][i % 6]), [-9.0 + (i * k) % 7 / 3 for k in range(5)]) for i in range(24)]
+    scored = spark.createDataFrame(rows, "domain string, e array<double>")
+    found = mixing._own_posteriors(scored, names, prior)
+    for i, w in enumerate(mixing.WEIGHTS):
+        p = [list(r.p) for r in scored.select(mixing.posterior(prior, w).alias("p")).collect()]
+        assert [r[f"w{i}"] for r in found.collect()] == [p[n][names.index(d)] if d in names else None for n, (d, _) in enumerate(rows)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("e[") <= len(mixing.WEIGHTS) * len(names)
+
+
 def test_mixing_takes_repeated_rows_and_very_long_texts(spark, tongues):
     long = "lorema dolore " * 100_000
     docs = tongues.select("doc_id", "text").unionByName(spark.createDataFrame([(5000, long), (1, "lorema"), (1, "lorema"), (None, "szcza"), (None, "szcza")], "doc_id bigint, text string"))
